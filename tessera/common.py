@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,6 +49,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
+def plain(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A pandas frame that Arrow can send back: an empty one's columns, which pandas takes for numbers, as objects."""
+    return pdf if len(pdf) else pdf.astype(object)
+
+
 def local_path(path: str) -> str:
     """A file URI as a plain path."""
     return path[7:] if path.startswith("file://") else path

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.common import written
+from tessera.common import plain, written
 
 CHUNK = 64  # rows of one snapshot in a chunk, on average
 
@@ -71,11 +71,11 @@ def _classify(columns: list[str]):
                 held = [t]
                 continue
             if (out := chunk_changes(t.iloc[: cut[-1]])) is not None:
-                yield out
+                yield plain(out)
             held = [t.iloc[cut[-1] :]]
             rows = len(held[0])
         if held and (out := chunk_changes(pd.concat(held, ignore_index=True))) is not None:
-            yield out
+            yield plain(out)
 
     return run
 
