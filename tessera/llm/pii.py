@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.common import spread
+from tessera.common import plain, spread
 from tessera.llm import pii_model as m
 
 WINDOW, MARGIN, BATCH = 320, 40, 256
@@ -175,7 +175,7 @@ def find_pii(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 found = find(texts, model)
                 pii = [None if t is None else [{"pii_type": k, "pii_text": t[a:b], "start": a, "end": b} for a, b, k in f] for t, f in zip(texts, found)]
                 red = [None if t is None else redact(t, f) for t, f in zip(texts, found)]
-                yield pd.DataFrame({id_col: part["_id"].to_numpy(), "pii": pii, "redacted": red})
+                yield plain(pd.DataFrame({id_col: part["_id"].to_numpy(), "pii": pii, "redacted": red}))
 
     part = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     return spread(part).mapInPandas(run, schema)

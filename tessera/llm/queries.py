@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.common import table, written
-from tessera.llm import frequent, ngrams, pii
+from tessera.llm import codefiles, frequent, ngrams, pii
 
 
 def _word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,19 @@ def p2_top_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequent.frequent_items(table(spark, sf_dir, "posting_rows").select("keyword"), F.col("keyword"), k=100).select(F.col("item").alias("keyword"), "n")
 
 
+def _file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").where("file_id is not null")
+    return codefiles.classify_files(files, table(spark, sf_dir, "known_packages"), "doc_id", "text", "rel_path", "workspace_id")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _file_kinds(spark, sf_dir).where("kind is not null").select("doc_id")
+
+
+def p4_file_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _file_kinds(spark, sf_dir)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select("doc_id", F.explode(F.array_distinct(F.transform("pii", lambda x: F.struct(x.pii_type.alias("pii_type"), x.pii_text.alias("pii_text"))))).alias("p")).select("doc_id", "p.pii_type", "p.pii_text")
@@ -69,6 +82,8 @@ QUERIES = {
     "p1_keyword_counts": p1_keyword_counts,
     "p2_found": p2_found,
     "p2_top_keywords": p2_top_keywords,
+    "p4_found": p4_found,
+    "p4_file_classes": p4_file_classes,
     "p9_found": p9_found,
     "p9_redacted": p9_redacted,
 }
