@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.common import table, written
-from tessera.llm import codefiles, frequent, ngrams, pii
+from tessera.llm import codefiles, frequent, mixing, ngrams, packing, pii, tokens
 
 
 def _word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,48 @@ def p4_file_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _file_kinds(spark, sf_dir)
 
 
+def _token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return written(tokens.with_token_counts(docs, "text", ["doc_id", "source", "lang", "rel_path"]), "tokens")
+
+
+def _packings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into containers of each capacity, and into all capacities jointly (plan ``joint``)."""
+    sizes = _token_table(spark, sf_dir).select("doc_id", "tokens")
+    kinds = table(spark, sf_dir, "containers").select("container_kind", "capacity_tokens").collect()
+    plans = [(r[0], [r[1]]) for r in kinds] + [("joint", [r[1] for r in kinds])]
+    out = None
+    for name, capacities in plans:
+        one = packing.pack(sizes, "doc_id", "tokens", capacities).withColumn("plan", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p7_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packings(spark, sf_dir).select("plan", "bin", "capacity", "doc_id", "piece", "token_start", "n_tokens")
+
+
+def p7_fill_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bins = _packings(spark, sf_dir).groupBy("plan", "bin").agg(F.first("capacity").alias("capacity"), F.sum("n_tokens").alias("used"))
+    return bins.groupBy("plan", "capacity").agg(F.count(F.lit(1)).alias("bins"), F.sum("used").alias("tokens"), (F.sum("used") / F.sum("capacity")).alias("fill_rate"))
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    ext = F.lower(F.regexp_extract("rel_path", r"\.([A-Za-z0-9]+)$", 1))
+    topic = F.when(F.col("rel_path").isNull(), "text").when(ext.isin("md", "txt", "rst"), "prose_file").when(ext.isin("yaml", "yml", "json", "ini", "conf", "lock"), "settings").otherwise("code")
+    docs = _token_table(spark, sf_dir).select("doc_id", mixing.plain_name(F.col("source")).alias("source"), mixing.plain_language(F.col("lang")).alias("language"), topic.alias("topic"), "tokens")
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.mix(docs, targets, "doc_id"), targets
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(*_mixture(spark, sf_dir))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select("doc_id", F.explode(F.array_distinct(F.transform("pii", lambda x: F.struct(x.pii_type.alias("pii_type"), x.pii_text.alias("pii_text"))))).alias("p")).select("doc_id", "p.pii_type", "p.pii_text")
@@ -84,6 +126,10 @@ QUERIES = {
     "p2_top_keywords": p2_top_keywords,
     "p4_found": p4_found,
     "p4_file_classes": p4_file_classes,
+    "p7_assignment": p7_assignment,
+    "p7_fill_rates": p7_fill_rates,
+    "p8_mixture": p8_mixture,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_redacted": p9_redacted,
 }
