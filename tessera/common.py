@@ -7,11 +7,30 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once a session, for where their Python does not find it by itself."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tessera_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="tessera-package-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "tessera.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, names in os.walk(root):
+            for name in names:
+                if not name.endswith(".pyc"):
+                    z.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._tessera_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

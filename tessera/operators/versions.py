@@ -85,20 +85,23 @@ class VersionedTable:
         df = self.spark.read.option("basePath", base).parquet(*([f"{self.store.path}/{n}" for n in names] if names else [base]))
         return df.withColumn("_file", F.substring_index(F.col("_metadata.file_path"), "/", -2)).withColumn("_pos", F.col("_metadata.row_index"))
 
-    def load_upserts(self, rows: DataFrame, version: Column, keys: list[str], order: list[str]) -> None:
+    def load_upserts(self, rows: DataFrame, version: Column, keys: list[str], order: list[str], state: list[str]) -> None:
         """Commit one version for each value of ``version``: its rows are upserts by key, the greatest ``order`` holds.
 
         Rows with a null version or key are not part of the table.  A row that a greater one of the same or an
         earlier version beats is deleted in its own commit, one that a later version beats in that version's.
-        Ties in ``order`` go to the greatest of the remaining columns (nulls least), then to the last file.
+        Ties in ``order`` go to the greatest of ``state`` (nulls least), then to the last file.  Only the named
+        columns are stored; others, whatever their names, are ignored.
         """
-        rows.withColumn("_v", version.cast("long")).where("_v is not null" + "".join(f" and `{k}` is not null" for k in keys)).write.partitionBy("_v").parquet(f"{self.store.path}/data")
+        if clash := {"_v", "_d", "_file", "_pos", "_version", "_change"} & {*keys, *order, *state}:
+            raise ValueError(f"reserved column names: {sorted(clash)}")
+        stored = rows.select(version.cast("long").alias("_v"), *keys, *order, *state)
+        stored.where("_v is not null" + "".join(f" and `{k}` is not null" for k in keys)).write.partitionBy("_v").parquet(f"{self.store.path}/data")
         at = [int(n[3:]) for n in self.store.names("data") if n.startswith("_v=")]
         if not at:
             return
         data = self._located("data")
-        rest = [c for c in rows.columns if c not in (*keys, *order)]
-        rank = F.struct(*order, *rest, "_file", "_pos")
+        rank = F.struct(*order, *state, "_file", "_pos")
         best = data.groupBy(*keys, "_v").agg(F.max(rank).alias("_r"))
         order_w = Window.partitionBy(*keys).orderBy("_v")
         run = best.withColumn("_m", F.max("_r").over(order_w.rowsBetween(Window.unboundedPreceding, -1)))

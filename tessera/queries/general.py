@@ -33,7 +33,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = table(spark, sf_dir, "sync_runs").where("status = 'success' and started_time is not null").orderBy("started_time", "run_id").select("run_id", "started_time").collect()
     feed = table(spark, sf_dir, "doc_feed").select("workspace_id", "doc_id", "last_sync_time", "hash", "size", "modified_time", "arrived_time", "feed_id")
     log = versions.VersionedTable(spark, f"{shared_dir(spark)}/tessera/doc-feed-{uuid.uuid4().hex}")
-    log.load_upserts(feed, versions.version_of_run(F.col("arrived_time"), [r.started_time for r in runs]), ["workspace_id", "doc_id"], ["last_sync_time"])
+    log.load_upserts(feed, versions.version_of_run(F.col("arrived_time"), [r.started_time for r in runs]), ["workspace_id", "doc_id"], ["last_sync_time"], ["hash", "size", "modified_time", "arrived_time", "feed_id"])
     run_of = spark.createDataFrame([(k + 1, r.run_id) for k, r in enumerate(runs)], "_version bigint, run_id bigint")
     if not log.versions():
         return spark.createDataFrame([], "run_id bigint, workspace_id string, doc_id string")
