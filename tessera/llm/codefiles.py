@@ -36,7 +36,7 @@ MAX_PACKAGES = 100_000
 _COMMENT_LINE = re.compile(r"^\s*(?://|\#(?!include|define)|/\*|\*(?!/)|<!--|;|--|\"\"\")")
 _MADE = re.compile(
     r"(?i)@generated\b|<auto-?generated|\bauto-?generated (?:file|by)\b|\bcode generated by\b|\bgenerated (?:on|by|from) .*\b(?:do not (?:edit|modify)|edit the template)|\bgenerated on .* from\b"
-    r"|\b(?:produced|written|created|made) by\b.*\b(?:changes|edits)\b.*\b(?:lost|overwritten)\b|\bautomatisch (?:erzeugt|generiert)\b|\bgénéré automatiquement\b|\bgenerado automáticamente\b|\bgerado automaticamente\b"
+    r"|\brendered by \S+ from \S+\.\w+|\b(?:produced|written|created|made) by\b.*\b(?:changes|edits)\b.*\b(?:lost|overwritten)\b|\bautomatisch (?:erzeugt|generiert)\b|\bgénéré automatiquement\b|\bgenerado automáticamente\b|\bgerado automaticamente\b"
 )
 _NOT_MADE = re.compile(r"(?i)\bonce generated\b|\bmaintained by hand\b|\bno longer generated\b|\bwas generated\b")
 _SCHEMA = re.compile(r"(?im)^\W*source: \S+\.(?:schema|proto|idl|thrift|avsc)\W*$\s+^\W*(?:schema )?checksum: [0-9a-f]{8,}")
@@ -55,6 +55,7 @@ def file_features(text: str, path: str, packages: frozenset[str]) -> tuple[c.Mas
     own = re.search(_OWN.format(names), text)
     origin = re.search(_FROM.format(names), head)
     package = next((g for g in own.groups() if g), None) if own else None
+    longest = max(lines, key=len, default="")
     spaces = sum(ch.isspace() for ch in text)
     runs = max(1, len(masked.tokens) - c.SHINGLE + 1)
     return masked, {
@@ -67,19 +68,20 @@ def file_features(text: str, path: str, packages: frozenset[str]) -> tuple[c.Mas
         "longest_literal": masked.longest_literal,
         "solid": masked.solid_chars,
         "space": spaces / max(1, len(text)),
-        "longest_line": max(map(len, lines), default=0),
+        "longest_line": len(longest),
+        "busy": len(c.mask(longest).tokens) if len(longest) > 300 else 0,
         "runs": runs,
     }
 
 
 _DOC = (
     "id {0}, repo string, path string, shape string, shingles binary, n_shingles int, made boolean, locked boolean, origin boolean, package string, at_home boolean, "
-    "literal double, longest_literal int, solid int, space double, longest_line int, runs int"
+    "literal double, longest_literal int, solid int, space double, longest_line int, busy int, runs int"
 )
 
 
 def _describe(packages: frozenset[str]):
-    cols = ["made", "locked", "origin", "package", "at_home", "literal", "longest_literal", "solid", "space", "longest_line", "runs"]
+    cols = ["made", "locked", "origin", "package", "at_home", "literal", "longest_literal", "solid", "space", "longest_line", "busy", "runs"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -248,7 +250,7 @@ def classify_files(docs: DataFrame, packages: DataFrame, id_col: str, text_col:
     of_shape = local.select("shape", "class").distinct().join(whole, "class")
     f = files.drop("shingles").join(of_shape, "shape").join(family.select("class", "repo", F.col("n").alias("family")), ["class", "repo"])
     repeated = 1 - F.col("n_shingles") / F.col("runs")
-    minified = (F.col("longest_line") > 300) & (F.col("space") < 0.08) & (F.col("literal") < 0.6)
+    minified = (F.col("longest_line") > 300) & (F.col("busy") >= 80) & (F.col("space") < 0.08) & (F.col("literal") < 0.6)
     data = ((F.col("class_literal") >= 0.75) & (F.col("literal") >= 0.8) & (F.col("solid") >= 400)) | (F.col("longest_literal") >= 500) & (F.col("literal") >= 0.5)
     vendored = F.col("origin") | (F.col("package").isNotNull() & F.col("at_home"))
     generated = F.col("made") | F.col("locked") | ((F.col("made_share") >= 0.2) & (repeated >= 0.5))

@@ -33,6 +33,7 @@ _EMAIL = [
 ]
 _PHONE = re.compile(r"(?:\+|\(|\d)(?:[\d().\-\u2010-\u2013/ \u00a0\u2007\u202f]){5,}\d(?:,? ?(?:ext\.?|extension|x) ?\d+)?", re.I)
 _ID = re.compile(r"\b(?:(?i:QQ) ?\d\d ?\d\d ?\d\d ?(?i:[A-D])|\d{3}[- ]\d\d[- ]\d{4}|\d\d\.\d{3}\.\d{3}-?[A-Z]|[A-Z]{0,2}\d{6,10}[A-Z]?)\b")
+_PARTICLES = frozenset("von van der den de la le du da das del di do dos el al bin ibn y e zu zur ter".split())
 _TITLE = re.compile(r"(?:(?:dr|mr|mrs|ms|prof|herr|frau|mme|mlle|sra?|dra|hr|fr)\.? )+", re.I)
 
 
@@ -67,6 +68,8 @@ def exact(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
         if not got or sum(c.isdigit() for c in text[got[0] : got[1]]) < 7:
             return None
         a, b = got
+        if text[b : b + 1].isalnum() or (text[a:b].isdigit() and (b - a < 9 or text[a] != "0")):
+            return None
         if text[a] == "(" and ")" not in text[a:b]:
             a += 1
         return a, b
@@ -88,6 +91,11 @@ def exact(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
         while b > a and text[b - 1] in ". ":
             b -= 1
         s = text[a:b]
+        words = re.findall(r"[^\W\d_]+", s)
+        upper = [w for w in words if w[0].isupper()]
+        lower = [w for w in words if not w[0].isupper() and (w.lower() not in _PARTICLES or w is words[0])]
+        if " " not in s or (upper and lower) or any(not w[0].isupper() and not w.islower() for w in words):
+            return None
         if "\n" in s or "\r" in s or len(re.findall(r"[^\W\d_]+", s)) < 2 or any(c.isdigit() or c in "_@/<>;:" for c in s):
             return None
         return a, b

@@ -224,7 +224,7 @@ class Maker:
         text, found = self.example(length)
         x = self.r.random()
         start = 0 if x < 0.3 else self.r.randint(0, max(0, len(text) - length))
-        end = start + (length if self.r.random() < 0.8 else self.r.randint(20, length))
+        end = start + (length if self.r.random() < 0.8 else self.r.randint(min(20, length), length))
         return text[start:end], [(max(a, start) - start, min(b, end) - start, k) for a, b, k in found if a < end and b > start]
 
 
