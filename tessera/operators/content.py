@@ -116,7 +116,10 @@ def limited(found: DataFrame, limit: Limit) -> DataFrame:
 
     A file gives at most its limit of matches (and counts as truncated when it reaches it).  Over all files the
     line that reaches the limit is still given whole.  Only limit plus file limit rows are ever put in one order.
+    A limit of 0 (of batch jobs; a server's limits are always positive) means none: rows stay where they are.
     """
+    if limit.max_results <= 0:
+        return found.withColumns({"file_truncated": F.lit(False), "truncated": F.lit(False)})
     per_file = Window.partitionBy("doc_id").orderBy("line_number", "start")
     capped = found.withColumn("_r", F.row_number().over(per_file)).where(F.col("_r") <= limit.max_results_per_file)
     order = ["rel_path", "doc_id", "line_number", "start"]

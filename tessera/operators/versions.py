@@ -58,6 +58,7 @@ class Manifest:
     added: list[str] = field(default_factory=list)
     removed: list[str] = field(default_factory=list)
     deletions: list[str] = field(default_factory=list)  # files of (file, pos)
+    touched: list[str] = field(default_factory=list)  # data files that the deletions name
 
 
 class VersionedTable:
@@ -111,26 +112,29 @@ class VersionedTable:
         shown = live.select("_v", F.col("_r._file").alias("_file"), F.col("_r._pos").alias("_pos"))
         never = data.select("_v", "_file", "_pos").join(shown, ["_v", "_file", "_pos"], "left_anti").select(F.col("_v").alias("_d"), F.col("_file").alias("file"), F.col("_pos").alias("pos"))
         beaten.unionByName(never).repartition("_d").write.partitionBy("_d").parquet(f"{self.store.path}/deletions")
+        touched: dict[int, list[str]] = {}
+        if any(n.startswith("_d=") for n in self.store.names("deletions")):  # one row for each version and data file: no more than manifests hold anyway
+            for r in self.spark.read.parquet(f"{self.store.path}/deletions").select("_d", "file").distinct().collect():
+                touched.setdefault(int(r["_d"]), []).append(f"data/{r['file']}")
         for v in sorted(at):
-            self._commit(Manifest(v, self._files("data", f"_v={v}"), [], self._files("deletions", f"_d={v}")))
+            self._commit(Manifest(v, self._files("data", f"_v={v}"), [], self._files("deletions", f"_d={v}"), sorted(touched.get(v, []))))
 
     def deltas(self, after: int, upto: int) -> DataFrame:
         """One row per version and record that came or went in (after, upto]: ``_version``, ``_change`` (1 came, -1 went), the columns."""
         ms = [self.manifest(v) for v in self.versions() if after < v <= upto]
-        known = [self.manifest(v) for v in self.versions() if v <= upto]
         added = [f for m in ms for f in m.added]
-        if not any(m.added for m in known):
-            raise ValueError("the table has no files yet")
-        everything = [f for m in known for f in m.added]
-        all_rows = self._located("data", everything)
-        cols = [c for c in all_rows.columns if c not in ("_v", "_file", "_pos")]
+        touched = sorted({f for m in ms for f in m.touched})
+        if not added and not touched:
+            raise ValueError(f"no versions after {after} up to {upto}")
         marks = [f for m in ms for f in m.deletions]
         if marks:
             dv = self.spark.read.option("basePath", f"{self.store.path}/deletions").parquet(*[f"{self.store.path}/{f}" for f in marks])
             dv = dv.select(F.col("_d").cast("long").alias("_d"), F.col("file").alias("_file"), F.col("pos").alias("_pos"))
         else:
             dv = self.spark.createDataFrame([], "_d bigint, _file string, _pos bigint")
-        # Files that no deletion vector names are not opened: the join prunes by file before it matches positions.
+        # Only the files that the deletion vectors name, and those that were added, are opened.
+        all_rows = self._located("data", touched or added)
+        cols = [c for c in all_rows.columns if c not in ("_v", "_file", "_pos")]
         hit = all_rows.withColumn("_v", F.col("_v").cast("long")).join(dv, ["_file", "_pos"])
         went = hit.where("_v < _d").select(F.col("_d").alias("_version"), F.lit(-1).alias("_change"), *cols)
         if not added:

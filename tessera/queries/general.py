@@ -29,19 +29,42 @@ def p5_key_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eager.posting_key_statistics(table(spark, sf_dir, "posting_rows"), table(spark, sf_dir, "source_files"))
 
 
-def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+_FILE = ["workspace_id", "doc_id"]
+_DIFFERS = versions.Differs("hash", ["modified_time", "size"])
+
+
+def _feed_log(spark: SparkSession, sf_dir: str) -> tuple[versions.VersionedTable, DataFrame]:
+    """The feed as a versioned table, one version for each successful run, and the runs by version."""
     runs = table(spark, sf_dir, "sync_runs").where("status = 'success' and started_time is not null").orderBy("started_time", "run_id").select("run_id", "started_time").collect()
-    feed = table(spark, sf_dir, "doc_feed").select("workspace_id", "doc_id", "last_sync_time", "hash", "size", "modified_time", "arrived_time", "feed_id")
     log = versions.VersionedTable(spark, f"{shared_dir(spark)}/tessera/doc-feed-{uuid.uuid4().hex}")
-    log.load_upserts(feed, versions.version_of_run(F.col("arrived_time"), [r.started_time for r in runs]), ["workspace_id", "doc_id"], ["last_sync_time"], ["hash", "size", "modified_time", "arrived_time", "feed_id"])
-    run_of = spark.createDataFrame([(k + 1, r.run_id) for k, r in enumerate(runs)], "_version bigint, run_id bigint")
+    version = versions.version_of_run(F.col("arrived_time"), [r.started_time for r in runs])
+    log.load_upserts(table(spark, sf_dir, "doc_feed"), version, _FILE, ["last_sync_time"], ["hash", "size", "modified_time", "arrived_time", "feed_id"])
+    return log, spark.createDataFrame([(k + 1, r.run_id) for k, r in enumerate(runs)], "_version bigint, run_id bigint")
+
+
+def _no_cases(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "run_id bigint, workspace_id string, doc_id string")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deltas of all versions at once."""
+    log, runs = _feed_log(spark, sf_dir)
+    if not log.versions():
+        return _no_cases(spark)
+    return log.changes(0, log.versions()[-1], _FILE, _DIFFERS).join(runs, "_version").select("run_id", *_FILE)
+
+
+def p6_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a consumer runs it: one delta and one commit for each version, then read from the commits."""
+    log, runs = _feed_log(spark, sf_dir)
     if not log.versions():
-        return spark.createDataFrame([], "run_id bigint, workspace_id string, doc_id string")
-    changes = log.changes(0, len(runs), ["workspace_id", "doc_id"], versions.Differs("hash", ["modified_time", "size"]))
-    return changes.join(run_of, "_version").select("run_id", "workspace_id", "doc_id")
+        return _no_cases(spark)
+    sink = versions.DeltaSink(spark, f"{shared_dir(spark)}/tessera/deltas-{uuid.uuid4().hex}")
+    versions.process_new(log, sink, _FILE, _DIFFERS, "1")
+    return sink.read().join(runs, "_version").select("run_id", *_FILE)
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_key_statistics": p5_key_statistics, "p6_found": p6_found}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_key_statistics": p5_key_statistics, "p6_found": p6_found, "p6_incremental": p6_incremental}
 
 _PAIRS = r"""
 parsed as (
@@ -88,3 +111,5 @@ where o.doc_id is null or case when nullif(o.hash, '') is null or nullif(n.hash,
   then o.modified_time is distinct from n.modified_time or o.size is distinct from n.size else o.hash <> n.hash end
 """,
 }
+
+SQL["p6_incremental"] = SQL["p6_found"]

@@ -85,7 +85,7 @@ select {cols} from {'found' if not tail else 'last'}"""
 
 
 FLAT = ["doc_id", "rel_path", "line_number", "content", "start", "end"]
-NO_LIMIT = Limit(10**9, 10**9, 0)
+NO_LIMIT = Limit(0, 0, 0)
 
 
 def found(spark: SparkSession, sf_dir: str, q: str, case_sensitive: bool = False, wanted: Column | None = None, context: int = 0) -> DataFrame:

@@ -28,10 +28,8 @@ def test_compile(query, clauses, regexes):
     assert [c.regex for c in plan.clauses] == ["(^|[^a-zA-Z0-9])" + r for r in regexes]
 
 
-@pytest.mark.parametrize("query", ["", "   ", "h*ll", "a b", "foo(", "foo)", "c++", "word+{2}", "back\\1", "x{3,2}word |", "ab{2000}", "tail\\"])
+@pytest.mark.parametrize("query", ["", "   ", "h*ll", "a b", "foo(", "foo)", "c++", "word+{2}", "back\\1", "word{3,2}", "ab{2000}", "tail\\"])
 def test_no_plan(query):
-    if query == "x{3,2}word |":
-        pytest.skip("no usable prefix decides first")
     with pytest.raises(QueryError):
         compile_query(query)
 
