@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.common import table, written
+from tessera.functions.text import WORD
 from tessera.llm import codefiles, frequent, mixing, ngrams, packing, pii, tokens
 
 
@@ -40,6 +41,13 @@ def p1_keyword_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _word_counts(spark, sf_dir)
 
 
+def p1_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often, and in how many documents, every word and pair of neighbouring words occurs."""
+    found = F.transform(F.regexp_extract_all("text", F.lit(WORD), 0), F.lower)
+    counted = ngrams.ngram_frequencies(table(spark, sf_dir, "documents").select(F.array(found).alias("terms")), "terms", 2)
+    return counted.select(F.array_join("ngram", " ").alias("ngram"), F.col("cf").alias("n"), F.col("df").alias("n_docs"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "source_files").select("words")
     entries = files.agg(F.sum(F.when(F.col("words").isNotNull(), F.size("words")))).first()[0] or 0
@@ -122,6 +130,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_keyword_counts": p1_keyword_counts,
+    "p1_ngrams": p1_ngrams,
     "p2_found": p2_found,
     "p2_top_keywords": p2_top_keywords,
     "p4_found": p4_found,
@@ -143,6 +152,11 @@ word_counts as (select keyword, count(*) as n, count(distinct workspace_id || '
 
 SQL = {
     "p1_keyword_counts": f"with {_WORDS} select keyword, n, n_files from word_counts",
+    "p1_ngrams": """
+with t as (select doc_id, list_transform(regexp_extract_all(text, '[a-zA-Z0-9_][a-zA-Z0-9_-]+'), lambda w: lower(w)) as w from documents),
+g as (select doc_id, unnest(w) as ngram from t union all select doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from t)
+select ngram, count(*) as n, count(distinct doc_id) as n_docs from g group by ngram
+""",
     "p1_found": f"""
 with {_WORDS}, files as (select count(*) as n from (select distinct workspace_id, doc_id from source_files)),
 keys as (select row_key, keyword, max(doccount) as doccount from posting_rows where keyword is not null group by all),
