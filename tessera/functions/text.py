@@ -22,7 +22,7 @@ def words(text: Column) -> Column:
     """Distinct lower-case words of 3 to 80 characters, sorted; of null null."""
     found = F.regexp_extract_all(text, F.lit(WORD), 0)
     kept = F.filter(found, lambda w: F.length(w).between(MIN_WORD, MAX_WORD))
-    return F.array_sort(F.array_distinct(F.transform(kept, F.lower)))
+    return F.sort_array(F.array_distinct(F.transform(kept, F.lower)))
 
 
 def words_of_file(text: Column, size: Column, max_size: int) -> Column:

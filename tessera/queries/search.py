@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.common import shared_dir, table
+from tessera.common import shared_dir, spread, table
 from tessera.engine import ContentRequest, Engine
 from tessera.functions import fuzzy, globs, text
 from tessera.operators import content, eager, extended, files, index
@@ -42,7 +42,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.with_words(docs(spark, sf_dir))
+    return index.with_words(spread(docs(spark, sf_dir)))
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 import pytest
 
 from tests import oracle
+from tessera.operators import content, index
+from tessera.plans.query import compile_query
 from tessera.queries import general, search
 
 CORE = {**general.QUERIES, **search.QUERIES}
@@ -25,7 +27,8 @@ def test_entry(spark):
 
 @pytest.mark.skipif(not oracle.DATA.exists(), reason="needs the test tables")
 def test_search_without_index_does_not_shuffle(spark):
-    plan = CORE["content_multi"](spark, str(oracle.DATA))._jdf.queryExecution().executedPlan().toString()
+    docs = index.with_words(search.docs(spark, str(oracle.DATA)))
+    plan = content.matches(docs, compile_query("return error"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
     scan = CORE["key_prefix_scan"](spark, str(oracle.DATA))._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(row_key,kw:7|s)" in scan and "docids" not in scan
