@@ -3,24 +3,99 @@
 from __future__ import annotations
 
 import os
+import stat
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.common import plain
 from tessera.functions import globs, text
 from tessera.plans.settings import Filters, Settings
 
 
-def _relative(path: Column, root: str) -> Column:
-    plain = F.regexp_replace(F.regexp_replace(path, r"^file:/+", "/"), r"%20", " ")
-    return F.substring(plain, len(root.rstrip("/")) + 2, 1_000_000)
+LARGEST = 2**31 - 1024  # what one value holds
+READ_BYTES = 16 << 20  # bytes of files in one batch
+
+
+def _spread_folders(root: bytes, enough: int) -> list[tuple[bytes, bool]]:
+    """Folders below the root (relative) that tasks list: with all below them (True), or their own files alone."""
+    own, pending = [], [b""]
+    while pending and len(pending) < enough:
+        at = pending.pop(0)
+        own.append((at, False))
+        try:
+            with os.scandir(os.path.join(root, at)) as entries:
+                pending += sorted(os.path.join(at, e.name) for e in entries if e.is_dir(follow_symlinks=False))
+        except OSError:
+            if not at:
+                raise
+    return own + [(at, True) for at in pending]
+
+
+def list_folder(spark: SparkSession, root: str) -> DataFrame:
+    """``rel_path``, ``size``, ``modified_time`` (microseconds) and ``path`` (the name's bytes) of every file below the folder.
+
+    Whatever the names are: hidden files and those that begin with ``_`` count.  Links to files count, links to
+    folders are not followed; folders that cannot be read are left out.  Tasks share the folders.
+    """
+    base = os.fsencode(os.path.abspath(root))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for folder, deep in zip(batch["folder"], batch["deep"]):
+                for at, dirs, names in os.walk(os.path.join(base, folder)):
+                    rows = []
+                    for name in names:
+                        path = os.path.join(at, name)
+                        try:
+                            info = os.stat(path)
+                        except OSError:
+                            continue
+                        if stat.S_ISREG(info.st_mode):
+                            path = os.path.relpath(path, base)
+                            rows.append((path.decode("utf-8", "replace"), info.st_size, info.st_mtime_ns // 1000, path))
+                    yield plain(pd.DataFrame(rows, columns=["rel_path", "size", "modified_time", "path"]))
+                    if not deep:
+                        break
+
+    folders = _spread_folders(base, 4 * spark.sparkContext.defaultParallelism)
+    shared = spark.createDataFrame(folders, "folder binary, deep boolean").repartition(min(len(folders), 4 * spark.sparkContext.defaultParallelism))
+    return shared.mapInPandas(run, "rel_path string, size long, modified_time long, path binary")
+
+
+def read_files(files: DataFrame, root: str) -> DataFrame:
+    """``rel_path``, ``size``, ``modified_time``, ``bytes`` of files as ``list_folder`` gives them.
+
+    Files that are gone by now or must not be read are left out; ``bytes`` is null beyond LARGEST.
+    """
+    base = os.fsencode(os.path.abspath(root))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["rel_path", "size", "modified_time", "bytes"]
+        for batch in batches:
+            rows, held = [], 0
+            for rel_path, path in zip(batch["rel_path"], batch["path"]):
+                try:
+                    with open(os.path.join(base, path), "rb") as f:
+                        info = os.fstat(f.fileno())
+                        body = f.read() if info.st_size <= LARGEST else None
+                except (FileNotFoundError, PermissionError):
+                    continue
+                rows.append((rel_path, info.st_size if body is None else len(body), info.st_mtime_ns // 1000, body))
+                held += len(body or b"")
+                if held >= READ_BYTES:
+                    yield plain(pd.DataFrame(rows, columns=columns))
+                    rows, held = [], 0
+            yield plain(pd.DataFrame(rows, columns=columns))
+
+    return files.select("rel_path", "path").mapInPandas(run, "rel_path string, size long, modified_time long, bytes binary")
 
 
 def read_folder(spark: SparkSession, root: str) -> DataFrame:
-    """``rel_path``, ``size``, ``modified_time`` (microseconds), ``bytes`` of every file below the folder."""
-    root = os.path.abspath(root)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(root)
-    return files.select(_relative(F.col("path"), root).alias("rel_path"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("modified_time"), F.col("content").alias("bytes"))
+    """``rel_path``, ``size``, ``modified_time`` (microseconds), ``bytes`` of every file below the folder, see ``list_folder``."""
+    return read_files(list_folder(spark, root).repartition(4 * spark.sparkContext.defaultParallelism), root)
 
 
 def ignore_files(root: str) -> tuple[dict[str, list[str]], list[str]]:

@@ -172,3 +172,19 @@ def test_folder(spark, tmp_path):
     git = corpus.wanted_files(all_, Filters(["**/*.go"], True, []), str(tmp_path))
     assert sorted(r["rel_path"] for r in git.collect()) == ["a.go", "dist/c.go", "sub/d.go"]
     assert corpus.wanted_files(all_, Filters([], False, [])).count() == 0
+
+
+def test_folder_has_every_name(spark, tmp_path):
+    bodies = {"a/__init__.py": b"", "a/b.py": b"x = 1\n", "_sub/c.py": b"c", "_sub/_deep/__d.py": b"d", ".hid": b"h", ".github/w.yml": b"w", "a b%20/\u00e9 #1.txt": b"e"}
+    for name, body in bodies.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    (tmp_path / "link.py").symlink_to(tmp_path / "a/b.py")
+    (tmp_path / "a/up").symlink_to(tmp_path)
+    (tmp_path / "dangling").symlink_to(tmp_path / "none")
+    got = corpus.read_folder(spark, str(tmp_path)).collect()
+    assert sorted((r["rel_path"], bytes(r["bytes"])) for r in got) == sorted([*bodies.items(), ("link.py", b"x = 1\n")])
+    at = (tmp_path / "a/b.py").stat()
+    assert [(r["size"], r["modified_time"]) for r in got if r["rel_path"] == "a/b.py"] == [(6, at.st_mtime_ns // 1000)]
+    with pytest.raises(FileNotFoundError):
+        corpus.read_folder(spark, str(tmp_path / "none"))
