@@ -2,13 +2,16 @@
 
 Files are reduced to identifier-masked token shingles (:mod:`codetokens`).  Files with the same shingle set are
 one shape.  Shapes are clustered by MinHash banding; candidates are verified (Jaccard of at least 0.8) inside
-each bucket, and the connected shapes form a class.  Classes give the evidence:
+each bucket, and the connected shapes form a class; the files of a class in one repository are a family.
 
-* families that recur within a repository, some of whose members say that a program made them, are generated;
-* classes over several repositories whose files declare the module of a known package are vendored;
-* classes whose tokens are literals only are data blobs; classes without white space are minified.
+* generated: a file that says so or is a lock file, by itself; others if a fifth of their class, or of their family
+  of two or more, says that a program made it, and they repeat themselves;
+* vendored: a file that names its origin, or lies in the folder of the known package whose module it declares, by
+  itself; others if they declare the same known package as at least half of their class, in two or more repositories;
+* data: literals are most of the class and of the file; or, by itself, a file with one long literal;
+* minified: by itself, as masked tokens do not show white space.
 
-An exact check of each member follows, so that a hand-written file which only resembles a family stays.
+The conditions on the single file keep a hand-written file that only resembles a class.
 
 Inside a bucket no pairs are listed: a member is compared with the leaders of the groups found so far, and with
 a group's other members only where the triangle inequality of the Jaccard distance leaves a link possible.
@@ -63,6 +66,7 @@ def file_features(text: str, path: str, packages: frozenset[str]) -> tuple[c.Mas
         "locked": len(_LOCK.findall(text)) >= 4,
         "origin": bool(origin),
         "package": package,
+        "declares": bool(package) and not own.group(2),  # an import by the full name may be any user's
         "at_home": bool(package and re.search(rf"(?:^|[/@]){re.escape(package)}(?:[-@./]|$)", path or "")),
         "literal": masked.literal_chars / max(1, masked.solid_chars),
         "longest_literal": masked.longest_literal,
@@ -75,13 +79,13 @@ def file_features(text: str, path: str, packages: frozenset[str]) -> tuple[c.Mas
 
 
 _DOC = (
-    "id {0}, repo string, path string, shape string, shingles binary, n_shingles int, made boolean, locked boolean, origin boolean, package string, at_home boolean, "
+    "id {0}, repo string, path string, shape string, shingles binary, n_shingles int, made boolean, locked boolean, origin boolean, package string, declares boolean, at_home boolean, "
     "literal double, longest_literal int, solid int, space double, longest_line int, busy int, runs int"
 )
 
 
 def _describe(packages: frozenset[str]):
-    cols = ["made", "locked", "origin", "package", "at_home", "literal", "longest_literal", "solid", "space", "longest_line", "busy", "runs"]
+    cols = ["made", "locked", "origin", "package", "declares", "at_home", "literal", "longest_literal", "solid", "space", "longest_line", "busy", "runs"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -240,19 +244,24 @@ def classify_files(docs: DataFrame, packages: DataFrame, id_col: str, text_col:
     shapes = written(files.groupBy("shape").agg(F.first("shingles").alias("shingles"), F.first("n_shingles").alias("n_shingles")), "shapes")
     classes = components(shape_links(shapes)).withColumnRenamed("node", "shape")
     one = lambda flag: F.sum(F.when(F.expr(flag), 1).otherwise(0))
-    local = files.groupBy("shape", "repo").agg(F.count(F.lit(1)).alias("n"), one("made").alias("n_made"), one("package is not null").alias("n_own"), F.sum("literal").alias("literal"))
+    local = files.groupBy("shape", "repo").agg(F.count(F.lit(1)).alias("n"), one("made").alias("n_made"), F.sum("literal").alias("literal"))
     local = local.join(classes, "shape", "left").withColumn("class", F.coalesce("class", "shape"))
-    family = local.groupBy("class", "repo").agg(F.sum("n").alias("n"), F.sum("n_made").alias("n_made"), F.sum("n_own").alias("n_own"), F.sum("literal").alias("literal"))
+    family = local.groupBy("class", "repo").agg(F.sum("n").alias("n"), F.sum("n_made").alias("n_made"), F.sum("literal").alias("literal"))
     whole = family.groupBy("class").agg(
         F.sum("n").alias("class_files"), F.count(F.lit(1)).alias("class_repos"), (F.sum("n_made") / F.sum("n")).alias("made_share"),
-        (F.sum("n_own") / F.sum("n")).alias("own_share"), (F.sum("literal") / F.sum("n")).alias("class_literal"), F.max("n").alias("largest_family"),
+        (F.sum("literal") / F.sum("n")).alias("class_literal"),
     )
     of_shape = local.select("shape", "class").distinct().join(whole, "class")
-    f = files.drop("shingles").join(of_shape, "shape").join(family.select("class", "repo", F.col("n").alias("family")), ["class", "repo"])
+    in_repo = family.select("class", "repo", F.col("n").alias("family"), (F.col("n_made") / F.col("n")).alias("family_made"))
+    f = files.drop("shingles").join(of_shape, "shape").join(in_repo, ["class", "repo"])
+    declared = f.where("declares").groupBy("class", "package").agg(F.count(F.lit(1)).alias("n_declared"), F.countDistinct("repo").alias("declared_repos"))
+    f = f.join(declared, ["class", "package"], "left")
     repeated = 1 - F.col("n_shingles") / F.col("runs")
     minified = (F.col("longest_line") > 300) & (F.col("busy") >= 80) & (F.col("space") < 0.08) & (F.col("literal") < 0.6)
     data = ((F.col("class_literal") >= 0.75) & (F.col("literal") >= 0.8) & (F.col("solid") >= 400)) | (F.col("longest_literal") >= 500) & (F.col("literal") >= 0.5)
-    vendored = F.col("origin") | (F.col("package").isNotNull() & F.col("at_home"))
-    generated = F.col("made") | F.col("locked") | ((F.col("made_share") >= 0.2) & (repeated >= 0.5))
+    copied = F.col("declares") & (F.col("declared_repos") >= 2) & (F.col("n_declared") >= 0.5 * F.col("class_files"))
+    vendored = F.col("origin") | (F.col("package").isNotNull() & F.col("at_home")) | copied
+    recurs = (F.col("made_share") >= 0.2) | (F.col("family") >= 2) & (F.col("family_made") >= 0.2)
+    generated = F.col("made") | F.col("locked") | (recurs & (repeated >= 0.5))
     label = F.when(vendored, "vendored").when(generated, "generated").when(data, "data").when(minified, "minified")
     return f.select(F.col("id").alias(id_col), F.col("class").alias("class_id"), "class_files", "class_repos", "family", label.alias("kind"))

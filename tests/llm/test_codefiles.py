@@ -91,3 +91,23 @@ def test_kinds(spark):
 def test_very_long_file(spark):
     docs = spark.createDataFrame([("x", "1", "a.py", "def f(a):\n    return a + 1\n" * 20000)], "key string, repo string, path string, text string")
     assert codefiles.classify_files(docs, spark.createDataFrame([], "package_name string"), "key", "text", "path", "repo").first()["kind"] is None
+
+
+def kinds(spark, rows):
+    docs = spark.createDataFrame(rows, "key string, repo string, path string, text string")
+    got = codefiles.classify_files(docs, spark.createDataFrame([("velvet",)], "package_name string"), "key", "text", "path", "repo").collect()
+    return {r["key"]: r["kind"] for r in got}
+
+
+def test_class_over_repositories_is_vendored(spark):
+    body = "package velvet\n\n" + "func f(a int) int { return g(a, 1) }\nvar k = map[string]int{}\ntype T struct { x int }\n"
+    uses = "from velvet import cut\n\ndef f(a):\n    return cut(a) + [x for x in a if x > 3]\n"
+    rows = [("a", "1", "x/a.go", body), ("b", "2", "y/b.go", body.replace("f(", "other(")), ("c", "3", "c.go", body.replace("velvet", "main"))]
+    assert kinds(spark, [*rows, ("p", "1", "p.py", uses), ("q", "2", "q.py", uses)]) == {"a": "vendored", "b": "vendored", "c": None, "p": None, "q": None}
+    assert set(kinds(spark, [rows[0], ("b", "1", *rows[1][2:])]).values()) == {None}  # one repository's own module
+
+
+def test_family_in_its_repository_is_generated(spark):
+    plain = [(f"u{k}", str(k + 2), "x.ts", GEN.replace("Alpha", f"Om{k}")) for k in range(8)]
+    rows = [("m", "1", "a.ts", "// Code generated by tool 1.0. DO NOT EDIT.\n" + GEN), ("n", "1", "b.ts", GEN.replace("Beta", "Psi")), *plain]
+    assert kinds(spark, rows) == {"m": "generated", "n": "generated"} | {r[0]: None for r in plain}
