@@ -37,10 +37,13 @@ HEAD_LINES = 12
 MAX_PACKAGES = 100_000
 
 _COMMENT_LINE = re.compile(r"^\s*(?://|\#(?!include|define)|/\*|\*(?!/)|<!--|;|--|\"\"\")")
-_MADE = re.compile(
-    r"(?i)@generated\b|<auto-?generated|\bauto-?generated (?:file|by)\b|\bcode generated by\b|\bgenerated (?:on|by|from) .*\b(?:do not (?:edit|modify)|edit the template)|\bgenerated on .* from\b"
+_SAYS_MADE = (
+    r"@generated\b|<auto-?generated|\bauto-?generated (?:file|by)\b|\bcode generated by\b|\bgenerated (?:on|by|from) .*\b(?:do not (?:edit|modify)|edit the template)|\bgenerated on .* from\b"
     r"|\brendered by \S+ from \S+\.\w+|\b(?:produced|written|created|made) by\b.*\b(?:changes|edits)\b.*\b(?:lost|overwritten)\b|\bautomatisch (?:erzeugt|generiert)\b|\bgénéré automatiquement\b|\bgenerado automáticamente\b|\bgerado automaticamente\b"
 )
+_MADE = re.compile(f"(?i)(?:{_SAYS_MADE})")
+# Below the head, where comments are about the code beside them, a comment has to begin with it.
+_MADE_BELOW = re.compile(rf"(?i)^[\s/#*;<!\-\"]*(?:this (?:file|code|source|module)(?: (?:is|was|has been))? )?(?:{_SAYS_MADE})")
 _NOT_MADE = re.compile(r"(?i)\bonce generated\b|\bmaintained by hand\b|\bno longer generated\b|\bwas generated\b")
 _SCHEMA = re.compile(r"(?im)^\W*source: \S+\.(?:schema|proto|idl|thrift|avsc)\W*$\s+^\W*(?:schema )?checksum: [0-9a-f]{8,}")
 _LOCK = re.compile(r"(?m)^\s*\"?(?:integrity|checksum|resolved)\"?:?\s")
@@ -48,21 +51,46 @@ _FROM = r"(?i)(?:\bcopied (?:verbatim )?from|\bpart of|\bimported from upstream|
 _OWN = r"(?m)^package ({0})\b|^from ({0}) import|require\(['\"]\./({0})['\"]\)|from ['\"]\./({0})['\"]|#include \"({0})\.h\"|^(?:namespace|module) ({0})\b"
 
 
+def comment_lines(lines: list[str]) -> tuple[list[bool], int]:
+    """Which lines are comments, and how many lines the head has: HEAD_LINES, or all of a longer leading comment."""
+    flags, closes, head = [], None, None
+    for k, x in enumerate(lines):
+        bare = x.strip()
+        inside = closes is not None
+        if inside:
+            if closes in bare:
+                closes = None
+        else:
+            opens = {"/*": "*/", "<!--": "-->"} | ({'"""': '"""', "'''": "'''"} if head is None else {})  # strings of many lines only where no code came yet
+            for o, c_ in opens.items():
+                if bare.startswith(o):
+                    closes, inside = (None if c_ in bare[len(o) :] else c_), True
+        flags.append(inside or bool(_COMMENT_LINE.match(x) or re.match(r"^\s*\*.*\*\s*$", x)))
+        if head is None and bare and not flags[-1] and not (k == 0 and bare.startswith(("<?", "#!"))):
+            head = k
+    return flags, max(HEAD_LINES, len(lines) if head is None else head)
+
+
 def file_features(text: str, path: str, packages: frozenset[str]) -> tuple[c.Masked, dict]:
     """The masked tokens and what a file says about itself."""
     masked = c.mask(text, packages)
     lines = text.splitlines()
-    said = [x for x in (*lines[:HEAD_LINES], *lines[-2:]) if (_COMMENT_LINE.match(x) or re.match(r"^\s*\*.*\*\s*$", x)) and not _NOT_MADE.search(x)]
-    head = "\n".join(x for x in lines[:HEAD_LINES] if _COMMENT_LINE.match(x))
+    flags, top = comment_lines(lines)
+    said = [x for x, f in zip(lines, flags) if f]
+    head = "\n".join(x for x, f in zip(lines[:top], flags) if f)
+    near = [x for k, (x, f) in enumerate(zip(lines, flags)) if f and (k < top or k >= len(lines) - 2)]
+    made = any(_MADE.search(x) for x in near if not _NOT_MADE.search(x)) or any(_MADE_BELOW.match(x) for x in said if not _NOT_MADE.search(x))
     names = "|".join(map(re.escape, sorted(packages))) or "(?!)"
     own = re.search(_OWN.format(names), text)
-    origin = re.search(_FROM.format(names), head)
     package = next((g for g in own.groups() if g), None) if own else None
+    origin = re.search(_FROM.format(names), head)
+    if not origin and package:  # a comment below the head may tell where a part came from: only that of the file's own package counts
+        origin = re.search(_FROM.format(re.escape(package)), "\n".join(said))
     longest = max(lines, key=len, default="")
     spaces = sum(ch.isspace() for ch in text)
     runs = max(1, len(masked.tokens) - c.SHINGLE + 1)
     return masked, {
-        "made": any(_MADE.search(x) for x in said) or bool(_SCHEMA.search("\n".join(lines[:HEAD_LINES]))),
+        "made": made or any("hecksum" in x for x in said) and bool(_SCHEMA.search("\n".join(said))) or bool(_SCHEMA.search("\n".join(lines[:HEAD_LINES]))),
         "locked": len(_LOCK.findall(text)) >= 4,
         "origin": bool(origin),
         "package": package,

@@ -111,3 +111,25 @@ def test_family_in_its_repository_is_generated(spark):
     plain = [(f"u{k}", str(k + 2), "x.ts", GEN.replace("Alpha", f"Om{k}")) for k in range(8)]
     rows = [("m", "1", "a.ts", "// Code generated by tool 1.0. DO NOT EDIT.\n" + GEN), ("n", "1", "b.ts", GEN.replace("Beta", "Psi")), *plain]
     assert kinds(spark, rows) == {"m": "generated", "n": "generated"} | {r[0]: None for r in plain}
+
+
+LICENCE = "".join(f"// Line {k} of the terms of use.\n" for k in range(30))
+BLOCK = "/*\n" + "".join(f"   Line {k} of the terms.\n" for k in range(30)) + "{}\n*/\n"
+
+
+@pytest.mark.parametrize("text, made, origin", [
+    (LICENCE + "// Code generated by tool 1.0. DO NOT EDIT.\n" + GEN, True, False),
+    (BLOCK.format("Code generated by tool 1.0. DO NOT EDIT.") + GEN, True, False),
+    (LICENCE + "package t\n\n// Code generated by tool 1.0. DO NOT EDIT.\n" + GEN, True, False),
+    (LICENCE + "// source: a/b.proto\n// checksum: 0123456789ab\n" + GEN, True, False),
+    (LICENCE + "// Copied from velvet 3.1, see LICENSE\n" + HAND.format("rows"), False, True),
+    (BLOCK.format("Vendored from velvet.") + HAND.format("rows"), False, True),
+    (HAND.format("velvet") * 3 + "// Copied from velvet 3.1\n" + HAND.format("b"), False, True),
+    (HAND.format("rows") * 3 + "// Copied from velvet 3.1\n" + HAND.format("b"), False, False),  # a part of a file
+    (HAND.format("rows") * 3 + "// the code generated by the parser is read here\n" + HAND.format("b"), False, False),
+    (LICENCE + "// Once generated by tool; code generated by hand since.\n" + HAND.format("b"), False, False),
+    (HAND.format("rows") * 3 + "const banner = 'Code generated by tool. DO NOT EDIT.'\n" + HAND.format("b"), False, False),
+])
+def test_comments_at_any_line(text, made, origin):
+    f = codefiles.file_features(text, "x.ts", frozenset(["velvet"]))[1]
+    assert (f["made"], f["origin"]) == (made, origin)
