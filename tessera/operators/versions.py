@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -86,6 +87,15 @@ class VersionedTable:
         df = self.spark.read.option("basePath", base).parquet(*([f"{self.store.path}/{n}" for n in names] if names else [base]))
         return df.withColumn("_file", F.substring_index(F.col("_metadata.file_path"), "/", -2)).withColumn("_pos", F.col("_metadata.row_index"))
 
+    @staticmethod
+    def _name(path: str) -> str:
+        """A manifest's data file as ``_file`` names it."""
+        return "/".join(path.split("/")[-2:])
+
+    @staticmethod
+    def _stored(df: DataFrame) -> list[str]:
+        return [c for c in df.columns if c not in ("_v", "_d", "_file", "_pos", "_version")]
+
     def load_upserts(self, rows: DataFrame, version: Column, keys: list[str], order: list[str], state: list[str]) -> None:
         """Commit one version for each value of ``version``: its rows are upserts by key, the greatest ``order`` holds.
 
@@ -119,29 +129,42 @@ class VersionedTable:
         for v in sorted(at):
             self._commit(Manifest(v, self._files("data", f"_v={v}"), [], self._files("deletions", f"_d={v}"), sorted(touched.get(v, []))))
 
+    def _vectors(self, ms: list[Manifest]) -> DataFrame:
+        """The manifests' deletion vectors: ``_d`` (version), ``_file``, ``_pos``."""
+        marks = [f for m in ms for f in m.deletions]
+        if not marks:
+            return self.spark.createDataFrame([], "_d bigint, _file string, _pos bigint")
+        dv = self.spark.read.option("basePath", f"{self.store.path}/deletions").parquet(*[f"{self.store.path}/{f}" for f in marks])
+        return dv.select(F.col("_d").cast("long").alias("_d"), F.col("file").alias("_file"), F.col("pos").alias("_pos"))
+
     def deltas(self, after: int, upto: int) -> DataFrame:
-        """One row per version and record that came or went in (after, upto]: ``_version``, ``_change`` (1 came, -1 went), the columns."""
-        ms = [self.manifest(v) for v in self.versions() if after < v <= upto]
+        """One row per version and record that came or went in (after, upto]: ``_version``, ``_change`` (1 came, -1 went), the columns.
+
+        A record that a version rewrites from a removed file to an added one both comes and goes in it.
+        """
+        past = [self.manifest(v) for v in self.versions() if v <= upto]
+        ms = [m for m in past if m.version > after]
         added = [f for m in ms for f in m.added]
         touched = sorted({f for m in ms for f in m.touched})
-        if not added and not touched:
+        removed = {f: m.version for m in ms for f in m.removed}
+        if not added and not touched and not removed:
             raise ValueError(f"no versions after {after} up to {upto}")
-        marks = [f for m in ms for f in m.deletions]
-        if marks:
-            dv = self.spark.read.option("basePath", f"{self.store.path}/deletions").parquet(*[f"{self.store.path}/{f}" for f in marks])
-            dv = dv.select(F.col("_d").cast("long").alias("_d"), F.col("file").alias("_file"), F.col("pos").alias("_pos"))
-        else:
-            dv = self.spark.createDataFrame([], "_d bigint, _file string, _pos bigint")
-        # Only the files that the deletion vectors name, and those that were added, are opened.
-        all_rows = self._located("data", touched or added)
-        cols = [c for c in all_rows.columns if c not in ("_v", "_file", "_pos")]
-        hit = all_rows.withColumn("_v", F.col("_v").cast("long")).join(dv, ["_file", "_pos"])
-        went = hit.where("_v < _d").select(F.col("_d").alias("_version"), F.lit(-1).alias("_change"), *cols)
-        if not added:
-            return went
-        new = self._located("data", added).withColumn("_v", F.col("_v").cast("long"))
-        came = new.join(dv.withColumnRenamed("_d", "_v"), ["_v", "_file", "_pos"], "left_anti").select(F.col("_v").alias("_version"), F.lit(1).alias("_change"), *cols)
-        return came.unionByName(went)
+        dv = self._vectors(ms)
+        parts = []
+        # Only the files that the deletion vectors name, and those that were added or removed, are opened.
+        if added:
+            new = self._located("data", added).withColumn("_v", F.col("_v").cast("long"))
+            parts.append(new.join(dv.withColumnRenamed("_d", "_v"), ["_v", "_file", "_pos"], "left_anti").select(F.col("_v").alias("_version"), F.lit(1).alias("_change"), *self._stored(new)))
+        if touched:
+            hit = self._located("data", touched).withColumn("_v", F.col("_v").cast("long")).join(dv, ["_file", "_pos"])
+            parts.append(hit.where("_v < _d").select(F.col("_d").alias("_version"), F.lit(-1).alias("_change"), *self._stored(hit)))
+        if removed:
+            # less the rows that a vector, of that version or of any earlier one, has deleted already
+            gone = self._vectors([m for m in past if removed.keys() & set(m.touched)]).select("_file", "_pos")
+            at = self.spark.createDataFrame([(self._name(f), v) for f, v in removed.items()], "_file string, _version bigint")
+            old = self._located("data", sorted(removed)).join(gone, ["_file", "_pos"], "left_anti").join(at, "_file")
+            parts.append(old.select("_version", F.lit(-1).alias("_change"), *self._stored(old)))
+        return reduce(DataFrame.unionByName, parts)
 
     def changes(self, after: int, upto: int, keys: list[str], differs: "Differs") -> DataFrame:
         """``_version``, the keys and ``change_kind`` (new, changed) of each version in (after, upto]."""

@@ -139,6 +139,26 @@ def test_version_deltas(spark, tmp_path, seed):
         t._commit(versions.Manifest(3))
 
 
+def test_removed_and_rewritten_files(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    rows = [("1", f"d{k}", 1, f"h{k}", 1, 0, "", 0) for k in range(4)] + [("1", "d0", 2, "h0+", 1, 1, "", 0), ("1", "d4", 2, "h4", 1, 1, "", 0)]
+    t = table_of(spark, rows, f"file://{path}")
+    cols = ["ws", "doc", "sync", "hash", "size"]
+    live = {"d1": "h1", "d2": "h2+", "d3": "h3"}  # version 3 rewrites what is live of version 1: one record changed, d0 was deleted in version 2
+    new = spark.createDataFrame([("1", d, 3, h, 1) for d, h in live.items()], "ws string, doc string, sync long, hash string, size long").coalesce(1)
+    folder = t.manifest(1).added[0].rsplit("/_v=", 1)[0]
+    new.write.parquet(f"file://{path}/{folder}/_v=3")
+    added = [f"{folder}/_v=3/{n}" for n in t.store.names(f"{folder}/_v=3") if n.endswith(".parquet")]
+    t._commit(versions.Manifest(3, added, t.manifest(1).added))
+    t._commit(versions.Manifest(4, [], t.manifest(2).added))  # removes d0 and d4
+    got = sorted((r["_version"], r["_change"], r["doc"], r["hash"]) for r in t.deltas(2, 4).select("_version", "_change", *cols).collect())
+    assert got == [(3, -1, "d1", "h1"), (3, -1, "d2", "h2"), (3, -1, "d3", "h3"), (3, 1, "d1", "h1"), (3, 1, "d2", "h2+"), (3, 1, "d3", "h3"), (4, -1, "d0", "h0+"), (4, -1, "d4", "h4")]
+    assert [tuple(r) for r in t.changes(2, 4, ["ws", "doc"], DIFFERS).collect()] == [(3, "1", "d2", "changed")]
+    assert len(t.deltas(3, 4).collect()) == 2 and t.changes(3, 4, ["ws", "doc"], DIFFERS).collect() == []
+    whole = [(r["_version"], r["_change"], r["doc"]) for r in t.deltas(0, 4).collect()]
+    assert len(whole) == len(set(whole)) and sum(c for _, c, _ in whole) == 3 and (2, -1, "d0") in whole and (3, -1, "d0") not in whole
+
+
 def test_empty_feed(spark, tmp_path):
     assert table_of(spark, [], f"file://{tmp_path}/t").versions() == []
 
