@@ -13,6 +13,7 @@ gap nor a repeat.
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -81,16 +82,26 @@ class VersionedTable:
     def _files(self, folder: str, part: str) -> list[str]:
         return [f"{folder}/{part}/{n}" for n in self.store.names(f"{folder}/{part}") if n.endswith(".parquet")]
 
-    def _located(self, folder: str, names: list[str] | None = None) -> DataFrame:
-        """Rows with ``_file`` (its partition and name) and ``_pos``."""
-        base = f"{self.store.path}/{folder}"
-        df = self.spark.read.option("basePath", base).parquet(*([f"{self.store.path}/{n}" for n in names] if names else [base]))
-        return df.withColumn("_file", F.substring_index(F.col("_metadata.file_path"), "/", -2)).withColumn("_pos", F.col("_metadata.row_index"))
+    def _read(self, names: list[str]) -> DataFrame:
+        """Files or folders as they are, without columns from their paths."""
+        return self.spark.read.option("recursiveFileLookup", True).parquet(*[f"{self.store.path}/{n}" for n in names])
+
+    def _located(self, names: list[str]) -> DataFrame:
+        """Rows of data files with ``_file`` (load, version and name), ``_pos`` and ``_v``, the version that added them."""
+        at = F.substring_index(F.col("_metadata.file_path"), "/", -3)
+        return self._read(names).withColumns({"_file": at, "_pos": F.col("_metadata.row_index"), "_v": F.regexp_extract(at, "/_v=([0-9]+)/", 1).cast("long")})
+
+    def live(self, upto: int) -> DataFrame | None:
+        """The rows of a version, as ``_located`` gives them; None where there are none."""
+        ms = [self.manifest(v) for v in self.versions() if v <= upto]
+        removed = {f for m in ms for f in m.removed}
+        files = [f for m in ms for f in m.added if f not in removed]
+        return self._located(files).join(self._vectors(ms), ["_file", "_pos"], "left_anti") if files else None
 
     @staticmethod
     def _name(path: str) -> str:
         """A manifest's data file as ``_file`` names it."""
-        return "/".join(path.split("/")[-2:])
+        return "/".join(path.split("/")[-3:])
 
     @staticmethod
     def _stored(df: DataFrame) -> list[str]:
@@ -99,6 +110,10 @@ class VersionedTable:
     def load_upserts(self, rows: DataFrame, version: Column, keys: list[str], order: list[str], state: list[str]) -> None:
         """Commit one version for each value of ``version``: its rows are upserts by key, the greatest ``order`` holds.
 
+        They are upserts to what the last committed version holds.  Rows of versions up to that one are taken to be
+        in the table and left out, so a load that died between its commits is simply run again with the same rows;
+        what it had written without a commit lies in a folder of its own and counts for nothing.
+
         Rows with a null version or key are not part of the table.  A row that a greater one of the same or an
         earlier version beats is deleted in its own commit, one that a later version beats in that version's.
         Ties in ``order`` go to the greatest of ``state`` (nulls least), then to the last file.  Only the named
@@ -106,36 +121,44 @@ class VersionedTable:
         """
         if clash := {"_v", "_d", "_file", "_pos", "_version", "_change"} & {*keys, *order, *state}:
             raise ValueError(f"reserved column names: {sorted(clash)}")
+        last = max(self.versions(), default=0)
+        load = f"{last:012}-{uuid.uuid4().hex}"
         stored = rows.select(version.cast("long").alias("_v"), *keys, *order, *state)
-        stored.where("_v is not null" + "".join(f" and `{k}` is not null" for k in keys)).write.partitionBy("_v").parquet(f"{self.store.path}/data")
-        at = [int(n[3:]) for n in self.store.names("data") if n.startswith("_v=")]
+        stored.where(f"_v > {last}" + "".join(f" and `{k}` is not null" for k in keys)).write.partitionBy("_v").parquet(f"{self.store.path}/data/{load}")
+        at = [int(n[3:]) for n in self.store.names(f"data/{load}") if n.startswith("_v=")]
         if not at:
             return
-        data = self._located("data")
+        data = self._located([f"data/{load}"])
         rank = F.struct(*order, *state, "_file", "_pos")
         best = data.groupBy(*keys, "_v").agg(F.max(rank).alias("_r"))
+        base = self.live(last)
+        if base is not None:
+            held = base.select(*keys, F.lit(last).cast("long").alias("_v"), rank.alias("_r"))
+            best = best.unionByName(held.join(data.select(*keys).distinct(), keys, "left_semi"))
         order_w = Window.partitionBy(*keys).orderBy("_v")
         run = best.withColumn("_m", F.max("_r").over(order_w.rowsBetween(Window.unboundedPreceding, -1)))
-        live = run.where(F.col("_m").isNull() | (F.col("_r") > F.col("_m")))
+        live = run.where(f"_v > {last}").where(F.col("_m").isNull() | (F.col("_r") > F.col("_m")))
         # the previous state, which this version deletes
         beaten = live.where("_m is not null").select(F.col("_v").alias("_d"), F.col("_m._file").alias("file"), F.col("_m._pos").alias("pos"))
         shown = live.select("_v", F.col("_r._file").alias("_file"), F.col("_r._pos").alias("_pos"))
         never = data.select("_v", "_file", "_pos").join(shown, ["_v", "_file", "_pos"], "left_anti").select(F.col("_v").alias("_d"), F.col("_file").alias("file"), F.col("_pos").alias("pos"))
-        beaten.unionByName(never).repartition("_d").write.partitionBy("_d").parquet(f"{self.store.path}/deletions")
+        beaten.unionByName(never).repartition("_d").write.partitionBy("_d").parquet(f"{self.store.path}/deletions/{load}")
         touched: dict[int, list[str]] = {}
-        if any(n.startswith("_d=") for n in self.store.names("deletions")):  # one row for each version and data file: no more than manifests hold anyway
-            for r in self.spark.read.parquet(f"{self.store.path}/deletions").select("_d", "file").distinct().collect():
+        if any(n.startswith("_d=") for n in self.store.names(f"deletions/{load}")):  # one row for each version and data file: no more than manifests hold anyway
+            for r in self.spark.read.parquet(f"{self.store.path}/deletions/{load}").select("_d", "file").distinct().collect():
                 touched.setdefault(int(r["_d"]), []).append(f"data/{r['file']}")
+        if max(self.versions(), default=0) != last:
+            raise FileExistsError(f"another writer committed after version {last}")
         for v in sorted(at):
-            self._commit(Manifest(v, self._files("data", f"_v={v}"), [], self._files("deletions", f"_d={v}"), sorted(touched.get(v, []))))
+            self._commit(Manifest(v, self._files(f"data/{load}", f"_v={v}"), [], self._files(f"deletions/{load}", f"_d={v}"), sorted(touched.get(v, []))))
 
     def _vectors(self, ms: list[Manifest]) -> DataFrame:
         """The manifests' deletion vectors: ``_d`` (version), ``_file``, ``_pos``."""
         marks = [f for m in ms for f in m.deletions]
         if not marks:
             return self.spark.createDataFrame([], "_d bigint, _file string, _pos bigint")
-        dv = self.spark.read.option("basePath", f"{self.store.path}/deletions").parquet(*[f"{self.store.path}/{f}" for f in marks])
-        return dv.select(F.col("_d").cast("long").alias("_d"), F.col("file").alias("_file"), F.col("pos").alias("_pos"))
+        version = F.regexp_extract(F.col("_metadata.file_path"), "/_d=([0-9]+)/[^/]*$", 1).cast("long")
+        return self._read(marks).select(version.alias("_d"), F.col("file").alias("_file"), F.col("pos").alias("_pos"))
 
     def deltas(self, after: int, upto: int) -> DataFrame:
         """One row per version and record that came or went in (after, upto]: ``_version``, ``_change`` (1 came, -1 went), the columns.
@@ -153,16 +176,16 @@ class VersionedTable:
         parts = []
         # Only the files that the deletion vectors name, and those that were added or removed, are opened.
         if added:
-            new = self._located("data", added).withColumn("_v", F.col("_v").cast("long"))
+            new = self._located(added)
             parts.append(new.join(dv.withColumnRenamed("_d", "_v"), ["_v", "_file", "_pos"], "left_anti").select(F.col("_v").alias("_version"), F.lit(1).alias("_change"), *self._stored(new)))
         if touched:
-            hit = self._located("data", touched).withColumn("_v", F.col("_v").cast("long")).join(dv, ["_file", "_pos"])
+            hit = self._located(touched).join(dv, ["_file", "_pos"])
             parts.append(hit.where("_v < _d").select(F.col("_d").alias("_version"), F.lit(-1).alias("_change"), *self._stored(hit)))
         if removed:
             # less the rows that a vector, of that version or of any earlier one, has deleted already
             gone = self._vectors([m for m in past if removed.keys() & set(m.touched)]).select("_file", "_pos")
             at = self.spark.createDataFrame([(self._name(f), v) for f, v in removed.items()], "_file string, _version bigint")
-            old = self._located("data", sorted(removed)).join(gone, ["_file", "_pos"], "left_anti").join(at, "_file")
+            old = self._located(sorted(removed)).join(gone, ["_file", "_pos"], "left_anti").join(at, "_file")
             parts.append(old.select("_version", F.lit(-1).alias("_change"), *self._stored(old)))
         return reduce(DataFrame.unionByName, parts)
 

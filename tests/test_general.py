@@ -139,6 +139,35 @@ def test_version_deltas(spark, tmp_path, seed):
         t._commit(versions.Manifest(3))
 
 
+def load_into(spark, t, rows):
+    t.load_upserts(spark.createDataFrame(rows, FEED), (F.col("arrived") + 1).cast("long"), ["ws", "doc"], ["sync"], ["hash", "size"])
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_later_loads_and_retries(spark, tmp_path, seed):
+    rows = feed_rows(seed, 200)
+    want = feed_model(rows, 5)
+    t = versions.VersionedTable(spark, f"file://{tmp_path}/t")
+    load_into(spark, t, [r for r in rows if r[5] is not None and r[5] < 2])
+    assert t.versions() == [1, 2]
+    commit, t._commit = t._commit, lambda m: commit(m) if m.version < 4 else exec("raise OSError('crash')")
+    with pytest.raises(OSError):  # data and vectors are written, version 3 is committed, the others are not
+        load_into(spark, t, [r for r in rows if r[5] is None or r[5] >= 2])
+    del t._commit
+    assert t.versions() == [1, 2, 3]
+    load_into(spark, t, rows)  # again, with the rows of all versions
+    load_into(spark, t, rows)
+    assert t.versions() == [1, 2, 3, 4, 5]
+    got = [tuple(r) for r in t.changes(0, 5, ["ws", "doc"], DIFFERS).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {tuple(r) for r in t.changes(3, 5, ["ws", "doc"], DIFFERS).collect()} == {x for x in want if x[0] > 3}
+    best = {}
+    for ws, doc, sync, h, size, arrived, *_ in rows:
+        if ws is not None and doc is not None and arrived is not None:
+            best[ws, doc] = max(best.get((ws, doc), ()), (sync, h is not None, h or "", size))
+    assert sorted((r["ws"], r["doc"], r["sync"], r["hash"] or "") for r in t.live(5).collect()) == sorted((*k, b[0], b[2]) for k, b in best.items())
+
+
 def test_removed_and_rewritten_files(spark, tmp_path):
     path = f"{tmp_path}/t"
     rows = [("1", f"d{k}", 1, f"h{k}", 1, 0, "", 0) for k in range(4)] + [("1", "d0", 2, "h0+", 1, 1, "", 0), ("1", "d4", 2, "h4", 1, 1, "", 0)]
