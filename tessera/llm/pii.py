@@ -3,8 +3,9 @@
 Texts are cut into overlapping windows, every window of every text is decoded by the character-level
 BiLSTM-CRF of :mod:`pii_model`, and the windows' spans are reconciled over the whole text: a span counts
 from the window in whose core its middle lies, and where two overlap the longer (then the earlier) wins.
-An exact check follows, which only moves a span's ends to those of the notation it lies in (whole words,
-whole address, whole number) or drops it where the notation cannot be that type.
+An exact check follows, which moves a span's ends to those of the notation it lies in (whole words, whole
+address, whole number).  A span in no known notation stays as it was tagged; it is dropped only where the text
+shows that it is something else (a part of an identifier, a version, a date, a clone address).
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ _EMAIL = [
 _PHONE = re.compile(r"(?:\+|\(|\d)(?:[\d().\-\u2010-\u2013/ \u00a0\u2007\u202f]){5,}\d(?:,? ?(?:ext\.?|extension|x) ?\d+)?", re.I)
 _ID = re.compile(r"\b(?:(?i:QQ) ?\d\d ?\d\d ?\d\d ?(?i:[A-D])|\d{3}[- ]\d\d[- ]\d{4}|\d\d\.\d{3}\.\d{3}-?[A-Z]|[A-Z]{0,2}\d{6,10}[A-Z]?)\b")
 _PARTICLES = frozenset("von van der den de la le du da das del di do dos el al bin ibn y e zu zur ter".split())
+# Words that stand between capitalised words in sentences, not in names.
+_NO_PARTICLES = frozenset("a an and are as at but by can for from had has he her his if in into is it its not of on or our she so than that the their then they this to was we were who with you und oder ist mit et est avec con per para".split())
+_NO_ID = re.compile(r"v?\d+(?:\.\d+){1,2}|\d{1,3}(?:\.\d{1,3}){3}|\d{4}[-/.]\d\d?[-/.]\d\d?|\d\d?[-/.]\d\d?[-/.]\d{4}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|(?=[0-9]*[a-f])[0-9a-f]{7,}|0x[0-9a-f]+", re.I)
 _TITLE = re.compile(r"(?:(?:dr|mr|mrs|ms|prof|herr|frau|mme|mlle|sra?|dra|hr|fr)\.? )+", re.I)
 
 
@@ -55,26 +59,70 @@ def _cover(patterns: list[re.Pattern], text: str, a: int, b: int) -> tuple[int,
     return found
 
 
+def _whole(text: str, a: int, b: int) -> tuple[int, int]:
+    """The span without marks at its ends, and with all of the words it cuts."""
+    while a < b and not (text[a].isalnum() or text[a] in "+(" and any(c.isdigit() for c in text[a:b])):
+        a += 1
+    while b > a and not text[b - 1].isalnum():
+        b -= 1
+    while a < b and a > 0 and text[a].isalnum() and text[a - 1].isalnum():
+        a -= 1
+    while a < b < len(text) and text[b].isalnum():
+        b += 1
+    return a, b
+
+
+def _other_email(text: str, a: int, b: int) -> tuple[int, int] | None:
+    """A tagged address in no known notation; None if no at sign joins two parts, or for clone addresses, user parts of URLs and package versions."""
+    while a < b and text[a] in " \t\r\n<(,;:'":
+        a += 1
+    while b > a and text[b - 1] in " \t\r\n>),;:.'":
+        b -= 1
+    s = text[a:b]
+    parts = re.split(r"@|[(\[{<]at[>}\])]| at ", s, maxsplit=1, flags=re.I)
+    if len(parts) < 2 or not parts[0].strip() or not parts[1].strip() or "\n" in s:
+        return None
+    if s.lower().startswith("git@") or "//" in text[max(0, a - 6) : b] or re.match(r"[v^~]?\d+(?:\.\d+)*$", parts[1].strip()) or text[b : b + 1] in ("/", ":") and text[b + 1 : b + 2].isalnum():
+        return None
+    return a, b
+
+
+def _other_id(text: str, a: int, b: int) -> tuple[int, int] | None:
+    """A tagged number in no known notation; None for few digits, versions, dates, hashes, and parts of paths and identifiers."""
+    a, b = _whole(text, a, b)
+    s = text[a:b]
+    if sum(c.isdigit() for c in s) < 5 or "\n" in s or any(c in s for c in "_@=<>") or _NO_ID.fullmatch(s):
+        return None
+    return None if text[max(0, a - 1) : a] in ("_", "@", "/") and a or text[b : b + 1] in ("_", "@") and b < len(text) else (a, b)
+
+
 def exact(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
-    """The span's ends in the notation it lies in; None where it cannot be of its type."""
+    """The span's ends in the notation it lies in, or as tagged in another; None where it cannot be of its type."""
     if kind == "email":
         got = _cover(_EMAIL, text, a, b)
         if not got:
-            return None
+            return _other_email(text, a, b)
         s = text[got[0] : got[1]].lower()
         return None if s.startswith("git@") or text[got[1] : got[1] + 1] in (":", "/") and "@" in s and text[got[0] - 6 : got[0]].endswith("//") else got
     if kind == "phone":
         got = _cover([_PHONE], text, a, b)
         if not got or sum(c.isdigit() for c in text[got[0] : got[1]]) < 7:
-            return None
+            got = _whole(text, a, b)
+            s = text[got[0] : got[1]]
+            if not 7 <= sum(c.isdigit() for c in s) <= 20 or "\n" in s or any(c in s for c in "_@=<>:;"):
+                return None
         a, b = got
-        if text[b : b + 1].isalnum() or (text[a:b].isdigit() and (b - a < 9 or text[a] != "0")):
+        if text[b : b + 1].isalnum() or (text[a:b].isdigit() and b - a > 15) or text[a : a + 1].isdigit() and text[a - 1 : a].isalnum() and a > 0:
             return None
         if text[a] == "(" and ")" not in text[a:b]:
             a += 1
         return a, b
     if kind == "id_number":
-        return _cover([_ID], text, a, b)
+        got = _cover([_ID], text, a, b)
+        if got and not any(c.isdigit() for c in text[a : max(a, got[0])] + text[min(b, got[1]) : b]):
+            return got
+        other = _other_id(text, a, b)  # no known notation, or one that is only a part of the tagged number
+        return other if other or not got else got
     while a < b and not text[a].isalnum():
         a += 1
     while b > a and not (text[b - 1].isalnum() or text[b - 1] in "º."):
@@ -92,11 +140,15 @@ def exact(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
             b -= 1
         s = text[a:b]
         words = re.findall(r"[^\W\d_]+", s)
+        cased = [w for w in words if w[0].lower() != w[0].upper()]  # other scripts have no capitals
         upper = [w for w in words if w[0].isupper()]
-        lower = [w for w in words if not w[0].isupper() and (w.lower() not in _PARTICLES or w is words[0])]
-        if " " not in s or (upper and lower) or any(not w[0].isupper() and not w.islower() for w in words):
+        between = words[1:-1] if len(words) > 2 else []
+        lower = [w for w in cased if w[0].islower() and not any(w is x for x in between if x in _PARTICLES or len(x) <= 5 and x not in _NO_PARTICLES) and (w not in _PARTICLES or w is words[0])]
+        if (upper and lower) or any(not w[0].isupper() and not w.islower() for w in cased):
+            return None
+        if len(words) < 2 and (cased or len(s) < 2) or len(words) > 1 and not re.search(r"\s", s) and cased:
             return None
-        if "\n" in s or "\r" in s or len(re.findall(r"[^\W\d_]+", s)) < 2 or any(c.isdigit() or c in "_@/<>;:" for c in s):
+        if re.search(r"\n\s*\n", s) or len(s.splitlines()) > 2 or ("\n" in s and cased and not upper) or any(c.isdigit() or c in "_@/<>;:" for c in s):
             return None
         return a, b
     if text[b : b + 1] == "." and re.search(r"(?i)\bst$", text[a:b]):

@@ -103,3 +103,18 @@ def test_generator_spans():
         assert len(text) <= 120 and all(0 <= a < b <= len(text) for a, b, _ in found)
     kept = pii_data.background(["A plain line.\nreach me at x@example.org\nMira Tarvermund said so.", "Install @a/b@1 first."], 10, 1)
     assert kept == ["A plain line.", "Install @a/b@1 first."]
+
+
+@pytest.mark.parametrize("kind, before, span, after, kept", [
+    ("id_number", "tax number ", "123.456.789-09", " please", True), ("id_number", "id ", "1234 5678 9012", ".", True), ("id_number", "id ", "85.05.12-345.67", ",", True),
+    ("id_number", "id ", "123456-7890", ",", True), ("id_number", "id ", "12345678901", "\n", True), ("id_number", "id ", "974-16-6514", " x", True),
+    ("id_number", "host ", "10.20.30.140", " up", False), ("id_number", "on ", "2024-11-26", ".", False), ("id_number", "commit ", "3f2a9c81d0", " x", False),
+    ("phone", "call ", "5551234567", " now", True), ("phone", "call ", "0612345678", " now", True), ("phone", "call ", "555~123~4567", " now", True), ("phone", "call ", "12345", " now", False), ("phone", "x", "5551234567", "a", False),
+    ("email", "to ", "mira@localhost", ", ok", True), ("email", "see ", "marlkit@1", " x", False), ("email", "clone ", "git@forge", ":a/b", False),
+    ("person_name", "by ", "Mira della Corvo", ",", True), ("person_name", "by ", "Jean d'Arvelle", ",", True), ("person_name", "by ", "Owen af Brint", ".", True), ("person_name", "by ", "Mira ten Brink", ".", True),
+    ("person_name", "by ", "Mira\nTarvermund", ".", True), ("person_name", "by ", "山田 太郎", "。", True), ("person_name", "by ", "山田太郎", "。", True),
+    ("person_name", "", "Mira and Owen", ".", False), ("person_name", "class ", "RemoveButton", ":", False), ("person_name", "", "return observeModule", "\n", False), ("person_name", "", "Mira\n\nOwen", ".", False),
+])
+def test_exact_drops_on_evidence_only(kind, before, span, after, kept):
+    text, a = before + span + after, len(before)
+    assert pii.exact(kind, text, a, a + len(span)) == ((a, a + len(span)) if kept else None)
