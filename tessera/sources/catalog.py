@@ -77,7 +77,26 @@ class Catalog:
     def synced(self, path: str, total_files: int) -> dict:
         return self._set(self.get(path)["id"], total_files=total_files, last_full_sync_time=datetime.now(timezone.utc).isoformat())
 
+    def counted(self, path: str, more: int) -> dict:
+        """The row with so many files more (or fewer) than before."""
+        id_ = self.get(path)["id"]
+
+        def edit(state: dict) -> dict:
+            row = state["rows"][id_]
+            row["total_files"] = max(0, row["total_files"] + more)
+            return row
+
+        return self._change(edit)
+
+    def ensure(self, path: str, filters: Filters | None = None, use_global: bool = True) -> dict:
+        """The row of the path, made if there is none."""
+        try:
+            return self.get(path)
+        except CatalogError:
+            return self.create(path, filters, use_global)
+
     def delete(self, path: str) -> dict:
+        """Takes the row away; ``sync.delete_workspace`` its documents as well."""
         found = self.get(path)
         return self._change(lambda state: state["rows"].pop(found["id"]))
 

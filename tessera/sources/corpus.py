@@ -159,6 +159,11 @@ def prefix_scan(table: DataFrame, column: str, prefix: str) -> DataFrame:
     return table.where(F.col(column).startswith(prefix))
 
 
+def prefix_delete(table: DataFrame, column: str, prefix: str) -> DataFrame:
+    """The table without the rows of ``prefix_scan``; null keys stay."""
+    return table.where(~F.coalesce(F.col(column).startswith(prefix), F.lit(False)))
+
+
 def range_scan(table: DataFrame, column: str, begin, end) -> DataFrame:
     """begin <= key < end."""
     return table.where((F.col(column) >= F.lit(begin)) & (F.col(column) < F.lit(end)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import eager, snapshots, versions
 from tessera.plans.settings import Filters, Settings
+from tessera.sources import corpus, sync
 from tessera.sources.catalog import Catalog, CatalogError
 from tessera.streaming.ingest import SCHEMA, BucketedIndex, file_changes, index_stream
 
@@ -245,3 +246,29 @@ def test_stream_and_replayed_epochs(spark, tmp_path):
     v = target.version()
     assert target.apply(one, 0) == v  # an epoch that was applied before
     assert target.apply(one.limit(0)) == v + 1
+
+
+def test_sync_and_removal(spark, tmp_path):
+    root = tmp_path / "w"
+    bodies = {"a.go": "func alpha", "b.go": "func beta", "sub/_c.go": "func gamma"}
+    for name, body in bodies.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(body)
+    c, t, s = Catalog(spark, f"file://{tmp_path}/c"), BucketedIndex(spark, f"file://{tmp_path}/i", 2), Settings()
+    assert c.ensure(str(root))["id"] == c.ensure(f"{root}/")["id"] == "1"
+    held = lambda: {r["rel_path"]: r["content"] for r in t.documents().collect()}
+    assert sync.sync_if_needed(c, t, str(root), s)["total_files"] == 3 and held() == bodies
+    (root / "a.go").write_text("func changed")
+    (root / "b.go").unlink()
+    (root / "d.go").write_text("func delta")
+    assert sync.sync_if_needed(c, t, str(root), s)["total_files"] == 3 and held() == bodies  # synced before
+    assert sync.sync(c, t, str(root), s)["total_files"] == 3
+    assert held() == {"a.go": "func changed", "sub/_c.go": "func gamma", "d.go": "func delta"}
+    version = t.version()
+    assert sync.sync(c, t, str(root), s)["total_files"] == 3 and t.version() == version  # nothing to do
+    assert sync.remove_file(c, t, str(root), "d.go")["total_files"] == 2 and "d.go" not in held()
+    assert sync.remove_file(c, t, str(root), "d.go")["total_files"] == 2
+    sync.delete_workspace(c, t, str(root))
+    assert held() == {} and t.postings().count() == 0 and c.list().count() == 0
+    keys = spark.createDataFrame([("kw:1|a",), ("kw:1|b",), ("kw:2|a",), (None,)], "k string")
+    assert {r[0] for r in corpus.prefix_delete(keys, "k", "kw:1|").collect()} == {"kw:2|a", None}
