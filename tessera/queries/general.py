@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.common import shared_dir, table, written
+from tessera.common import shared_dir, table
 from tessera.operators import eager, snapshots, versions
 
 
@@ -21,8 +21,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     postings = table(spark, sf_dir, "posting_rows")
     least = 0.01 * postings.count()
-    # Written first: the whole per-key result is the product, and Catalyst would else drop the joins this view does not need.
-    return written(p5_key_statistics(spark, sf_dir), "key-statistics").where(F.col("n_rows") >= F.lit(least)).select("workspace", "keyword")
+    return p5_key_statistics(spark, sf_dir).where(F.col("n_rows") >= F.lit(least)).select("workspace", "keyword")
 
 
 def p5_key_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,11 +67,12 @@ QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_key_statistics": p5_k
 
 _PAIRS = r"""
 parsed as (
-  select row_key, docids, string_split(substr(row_key, 4), '|') as k from posting_rows
+  select row_number() over () as r, docids, string_split(substr(row_key, 4), '|') as k from posting_rows
   where starts_with(row_key, 'kw:') and len(string_split(substr(row_key, 4), '|')) = 4
-    and regexp_full_match(string_split(substr(row_key, 4), '|')[3], '[0-9]{1,18}') and regexp_full_match(string_split(substr(row_key, 4), '|')[4], '[0-9]{1,18}')
+    and regexp_full_match(string_split(substr(row_key, 4), '|')[3], '[0-9]+') and try_cast(string_split(substr(row_key, 4), '|')[3] as bigint) is not null
+    and regexp_full_match(string_split(substr(row_key, 4), '|')[4], '[0-9]+') and try_cast(string_split(substr(row_key, 4), '|')[4] as bigint) is not null
 ), counts as (select k[1] as workspace, k[2] as keyword, count(*) as n_rows, sum(k[3]::bigint)::bigint as sum_doccount from parsed group by all),
-ids as (select distinct k[1] as workspace, k[2] as keyword, unnest(string_split(docids, '|')) as doc_id from parsed where docids is not null)
+posted as (select distinct r, k[1] as workspace, k[2] as keyword, unnest(string_split(docids, '|')) as doc_id from parsed where docids is not null)
 """
 
 SQL = {
@@ -94,9 +94,11 @@ left join one n on n.workspace_id = o.workspace_id and n.snapshot_no = p.snapsho
 """,
     "p5_found": "select workspace, keyword from posting_rows where workspace is not null and keyword is not null group by all having count(*) >= 0.01 * (select count(*) from posting_rows)",
     "p5_key_statistics": f"""
-with {_PAIRS}, files as (select distinct workspace_id as workspace, doc_id, 1 as there from source_files)
-select c.workspace, c.keyword, c.n_rows, c.sum_doccount, count(i.doc_id) as n_files, count(f.there) as n_files_present
-from counts c left join (select * from ids where doc_id <> '') i using (workspace, keyword) left join files f on f.workspace = i.workspace and f.doc_id = i.doc_id
+with {_PAIRS}, ids as (select workspace, keyword, doc_id, count(*) as times from posted where doc_id <> '' group by all),
+files as (select workspace_id as workspace, doc_id, count(*) as entries from source_files group by all)
+select c.workspace, c.keyword, c.n_rows, c.sum_doccount, count(i.doc_id) as n_files, count(f.entries) as n_files_present,
+  coalesce(sum(i.times), 0)::bigint as n_postings, coalesce(sum(i.times * f.entries), 0)::bigint as n_entries
+from counts c left join ids i using (workspace, keyword) left join files f on f.workspace = i.workspace and f.doc_id = i.doc_id
 group by all
 """,
     "p6_found": """
