@@ -53,6 +53,19 @@ def test_snapshot_diff(spark):
     got = [tuple(x) for x in snapshots.diff_snapshots(df, "n", "g", "k", ["size", "t"], "t").collect()]
     assert len(got) == len(set(got)) and set(got) == snapshot_model(rows)
     assert snapshots.diff_snapshots(df.limit(0), "n", "g", "k", ["size"], "t").collect() == []
+    how = ("n", "g", "k", ["size", "t"], "t")
+    kept = snapshots.chunk_digests(df.where("n <= 2"), *how)
+    later = snapshots.chunk_digests(df.where("n <= 4"), *how, kept=kept)
+    assert {r["_n"] for r in later.collect()} == {4}
+    got = {tuple(x) for x in snapshots.diff_snapshots(df, *how, kept=kept.unionByName(later)).collect()}
+    assert got == {x for x in snapshot_model(rows) if x[0] == 5}
+
+
+def test_snapshot_repeats_with_equal_values(spark):
+    """The same rows in another order of ``latest`` hold another state."""
+    rows = [(1, "g", "k", 1, 5), (1, "g", "k", 2, 6), (2, "g", "k", 1, 6), (2, "g", "k", 2, 5)]
+    df = spark.createDataFrame(rows, "n int, g string, k string, size long, t long")
+    assert [tuple(x) for x in snapshots.diff_snapshots(df, "n", "g", "k", ["size"], "t").collect()] == [(2, "g", "k", "changed")]
 
 
 def test_plain_path(spark):
@@ -81,7 +94,10 @@ def test_posting_statistics(spark):
     p = spark.createDataFrame(list(zip(keys, docs)), "row_key string, docids string").withColumn("keyword", F.lit("stale"))
     f = spark.createDataFrame([("1", "f1"), ("1", "f1"), ("2", "f2"), (None, None)], "workspace_id string, doc_id string")
     got = {(r["workspace"], r["keyword"]): tuple(r)[2:] for r in eager.posting_key_statistics(p, f).collect()}
-    assert got == {("1", "a"): (3, 7, 3, 1), ("2", "b"): (1, 1, 0, 0), ("", "c"): (1, 1, 0, 0)}
+    assert got == {("1", "a"): (3, 7, 3, 1, 5, 4), ("2", "b"): (1, 1, 0, 0, 0, 0), ("", "c"): (1, 1, 0, 0, 0, 0)}
+    big = spark.createDataFrame([("kw:1|a|1|9223372036854775807", None), ("kw:1|a|1|9223372036854775808", None)], "row_key string, docids string")
+    assert [r["n_rows"] for r in eager.posting_key_statistics(big, f).collect()] == [1]
+    assert "Join" in eager.posting_key_statistics(p, f).select("n_rows")._jdf.queryExecution().optimizedPlan().toString()
 
 
 FEED = "ws string, doc string, sync long, hash string, size long, arrived int, _file string, _v int"
