@@ -40,6 +40,14 @@ _NO_PARTICLES = frozenset("a an and are as at but by can for from had has he her
 _NO_ID = re.compile(r"v?\d+(?:\.\d+){1,2}|\d{1,3}(?:\.\d{1,3}){3}|\d{4}[-/.]\d\d?[-/.]\d\d?|\d\d?[-/.]\d\d?[-/.]\d{4}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|(?=[0-9]*[a-f])[0-9a-f]{7,}|0x[0-9a-f]+", re.I)
 _TITLE = re.compile(r"(?:(?:dr|mr|mrs|ms|prof|herr|frau|mme|mlle|sra?|dra|hr|fr)\.? )+", re.I)
 
+# Words that say of a number after them what it is, and words before which a street address has ended.
+_OTHER_NUMBER = re.compile(
+    r"(?i)\b(?:branch|rama|branche|zweig|ramo|build|range|ticket|part|tray|serial|order|version|milestone|release|commit|issue|port|batch|invoice|isbn|sku|model|revision|label|pair|row|line|article)(?: (?:no\.?|number|nr\.?|nº|range|id))?[ :#]*$"
+)
+_ENDED = re.compile(r",? (?:con|chez|bei|com|with|for|para|pour|für|presso|and|y|et|und|e) (?=[^\W\d_])")
+_WAY = re.compile(r"(?<!\w)(?:calle|c/|avenida|avda?\.|plaza|paseo|carrera|camino|rua|travessa|largo|praça|alameda|estrada|via|viale|piazza|corso) ?", re.I)
+_DAY = re.compile(r"(?:(?:mon|tues|wednes|thurs|fri|satur|sun)day|montag|dienstag|mittwoch|donnerstag|freitag|samstag|sonntag),? ", re.I)
+
 
 def weights() -> dict[str, np.ndarray]:
     """The trained weights that lie beside this module."""
@@ -50,13 +58,18 @@ def weights() -> dict[str, np.ndarray]:
 
 def _cover(patterns: list[re.Pattern], text: str, a: int, b: int) -> tuple[int, int] | None:
     """The match of the patterns that shares most with [a, b)."""
-    best, found = 0, None
-    for pattern in patterns:
-        for x in pattern.finditer(text, max(0, a - 60), min(len(text), b + 60)):
-            shared = min(b, x.end()) - max(a, x.start())
-            if shared > best:
-                best, found = shared, x.span()
-    return found
+    around = 60
+    while True:
+        low, high = max(0, a - around), min(len(text), b + around)
+        best, found = 0, None
+        for pattern in patterns:
+            for x in pattern.finditer(text, low, high):
+                shared = min(b, x.end()) - max(a, x.start())
+                if shared > best:
+                    best, found = shared, x.span()
+        if not found or (found[0] > low or low == 0) and (found[1] < high or high == len(text)):
+            return found
+        around *= 2  # the match may go on beyond what was looked at
 
 
 def _whole(text: str, a: int, b: int) -> tuple[int, int]:
@@ -116,8 +129,10 @@ def exact(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
             return None
         if text[a] == "(" and ")" not in text[a:b]:
             a += 1
-        return a, b
+        return None if text[a] not in "+(" and _OTHER_NUMBER.search(text, max(0, a - 40), a) else (a, b)
     if kind == "id_number":
+        if _OTHER_NUMBER.search(text, max(0, a - 40), a):
+            return None
         got = _cover([_ID], text, a, b)
         if got and not any(c.isdigit() for c in text[a : max(a, got[0])] + text[min(b, got[1]) : b]):
             return got
@@ -134,8 +149,9 @@ def exact(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
     while b < len(text) and text[b - 1].isalnum() and (text[b].isalnum() or text[b] == "'" and text[b + 1 : b + 2].isalnum()):
         b += 1
     if kind == "person_name":
-        if title := _TITLE.match(text, a, b):
-            a = title.end()
+        for lead in (_DAY, _TITLE):
+            if m_ := lead.match(text, a, b):
+                a = m_.end()
         while b > a and text[b - 1] in ". ":
             b -= 1
         s = text[a:b]
@@ -146,6 +162,8 @@ def exact(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
         lower = [w for w in cased if w[0].islower() and not any(w is x for x in between if x in _PARTICLES or len(x) <= 5 and x not in _NO_PARTICLES) and (w not in _PARTICLES or w is words[0])]
         if (upper and lower) or any(not w[0].isupper() and not w.islower() for w in cased):
             return None
+        if re.search(r"\b[lL]'[a-z]", s) or (comma := re.search(r", ?(\w+) ", s)) and comma[1] in _PARTICLES:  # a particle precedes the family name
+            return None
         if len(words) < 2 and (cased or len(s) < 2) or len(words) > 1 and not re.search(r"\s", s) and cased:
             return None
         if re.search(r"\n\s*\n", s) or len(s.splitlines()) > 2 or ("\n" in s and cased and not upper) or any(c.isdigit() or c in "_@/<>;:" for c in s):
@@ -155,8 +173,16 @@ def exact(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
         b += 1
     elif text[b - 1] == "." and not re.search(r"(?i)\bst\.$", text[a:b]):
         b -= 1
+    if way := _WAY.search(text, a, b):
+        if way.start() > a and not any(c.isdigit() for c in text[a : way.start()]):
+            a = way.start()
+    for end in _ENDED.finditer(text, a, b):
+        if any(c.isdigit() for c in text[a : end.start()]) and _WAY.match(text, a, b):
+            b = end.start()
+            break
     s = text[a:b]
-    return (a, b) if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and "\n" not in s else None
+    spaced = any(c.isspace() for c in s) and "_" not in s and "=" not in s
+    return (a, b) if spaced and any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and "\n" not in s else None
 
 
 def _windows(n: int) -> list[tuple[int, int, int, int]]:

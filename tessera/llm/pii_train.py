@@ -1,10 +1,11 @@
 """Train the personal-information tagger and write its weights.
 
-    python -m tessera.llm.pii_train OUT.npz [DOCUMENTS.parquet] [SECONDS]
+    python -m tessera.llm.pii_train OUT.npz SECONDS [START.npz] [FOLDER ...]
 
 Several processes take Adam steps on windows of their own and their weights are averaged every few steps.
-``DOCUMENTS.parquet`` gives sentences without personal information (at most ``MAX_BACKGROUND``, from at most
-``MAX_DOCUMENTS`` rows); without it only templates are used.
+Each ``FOLDER`` of source code and documents gives lines without personal information (together at most
+``MAX_BACKGROUND``, from at most ``MAX_FILES`` files); without one only templates are used.  Training goes on from the
+weights in ``START.npz``.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ import numpy as np
 
 from tessera.llm import pii_data, pii_model as m
 
-MAX_DOCUMENTS, MAX_BACKGROUND = 10_000, 60_000
-HIDDEN, LENGTH, BATCH, INNER, WORKERS = 40, 144, 40, 8, 8
+MAX_FILES, MAX_BACKGROUND = 6_000, 150_000
+HIDDEN, LENGTH, BATCH, INNER, WORKERS = 48, 144, 40, 8, 8
 _state: dict = {}
 
 
@@ -99,20 +100,19 @@ def score(p: dict, maker: pii_data.Maker, n: int = 400) -> tuple[float, float]:
 
 
 def main(args: list[str]) -> None:
-    background: list[str] = []
-    if len(args) > 1:
-        import pyarrow.parquet as pq
-
-        texts = pq.read_table(args[1], columns=["text"]).column("text").slice(0, MAX_DOCUMENTS).to_pylist()
-        background = pii_data.background((t for t in texts if t), MAX_BACKGROUND, 1)
-        print(len(background), "background sentences", flush=True)
-    seconds = float(args[2]) if len(args) > 2 else 300
-    p = train(background, [], 0.6 * seconds)
+    out, seconds, folders = args[0], float(args[1]), args[2:]
+    start = None
+    if folders and folders[0].endswith(".npz"):
+        with np.load(folders.pop(0)) as z:
+            start = {k: z[k].astype(np.float32) for k in z.files}
+    background = pii_data.background(pii_data.read_texts(folders, 1, MAX_FILES), MAX_BACKGROUND, 1)
+    print(len(background), "background lines", flush=True)
+    p = train(background, mine(start, background) if start else [], 0.6 * seconds, seed=7 if start is None else 17, start=start, rate=8e-3 if start is None else 5e-3)
     hard = mine(p, background)
-    print(len(hard), "hard sentences", flush=True)
-    p = train(background, hard, 0.4 * seconds, seed=8, start=p, rate=3e-3)
+    print(len(hard), "hard lines", flush=True)
+    p = train(background, hard, 0.4 * seconds, seed=8 if start is None else 18, start=p, rate=3e-3)
     print("held-out span precision, recall:", score(p, pii_data.Maker(99, background)))
-    np.savez_compressed(args[0], **{k: v.astype(np.float16) for k, v in p.items()})
+    np.savez_compressed(out, **{k: v.astype(np.float16) for k, v in p.items()})
 
 
 if __name__ == "__main__":

@@ -1,5 +1,9 @@
 """The tagger: gradient, held-out accuracy, windows, exact spans and redaction."""
 
+import re
+from collections import Counter
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -23,10 +27,45 @@ def test_gradient():
 
 def test_held_out_accuracy():
     """Names, numbers and addresses of a seed no training process has used."""
-    precision, recall = pii_train.score(pii.weights(), pii_data.Maker(123_456), 600)
+    lines = pii_data.background(pii_data.read_texts([str(Path(pii.__file__).parent.parent)], 5, 100), 2000, 5)
+    precision, recall = pii_train.score(pii.weights(), pii_data.Maker(123_456, lines), 600)
     assert precision > 0.93 and recall > 0.93
 
 
+def labelled() -> list[tuple[str, set[tuple[int, int, str]]]]:
+    """Sentences written by hand, whose names and wordings the generator does not have."""
+    kinds, out = dict(zip("NEPIA", ("person_name", "email", "phone", "id_number", "street_address"))), []
+    for line in (Path(__file__).parent / "pii_sentences.txt").read_text("utf-8").splitlines():
+        text, spans, at = "", set(), 0
+        for m in re.finditer(r"\[([NEPIA]):((?:[^\[\]]|\[(?:at|dot)\])*)\]", line):
+            text += line[at : m.start()]
+            spans.add((len(text), len(text) + len(m[2]), kinds[m[1]]))
+            text, at = text + m[2], m.end()
+        out.append((text + line[at:], spans))
+    return out
+
+
+def test_independent_sentences():
+    """The whole of find() on text that shares neither words nor wordings with the training; README has the figures."""
+    rows = labelled()
+    assert len(rows) >= 200
+    names = {w for t, s in rows for a, b, k in s if k == "person_name" for w in re.findall(r"\w{3,}", t[a:b])} - {"van", "der", "von"}
+    assert not names & ({*pii_data.GIVEN, *pii_data.FAMILY})
+    hit, told, true = Counter(), Counter(), Counter()
+    for (_, want), got in zip(rows, pii.find([t for t, _ in rows], pii.weights())):
+        for counter, spans in ((hit, want & set(got)), (told, got), (true, want)):
+            counter.update(k for *_, k in spans)
+    recall, precision = ({k: hit[k] / n for k, n in c.items()} for c in (true, told))
+    assert recall["email"] >= 0.95 and recall["phone"] >= 0.9 and recall["id_number"] >= 0.85 and recall["street_address"] >= 0.8 and recall["person_name"] >= 0.5
+    assert min(precision.values()) >= 0.9
+
+
+def test_whole_long_addresses():
+    address = "a" * 70 + ".b@" + "c" * 80 + ".example"
+    text = f"mail {address} today"
+    assert pii.exact("email", text, 60, 100) == (5, 5 + len(address))
+
+
 def test_short_training_learns():
     p = pii_model.init(16, 3)
     maker = pii_data.Maker(5)
@@ -56,14 +95,14 @@ def test_windows_cover_once():
 
 
 CASES = [
-    ("Signed-off-by: Mira Tarvermund <mira.tarvermund@example.org>", {("person_name", "Mira Tarvermund"), ("email", "mira.tarvermund@example.org")}),
-    ("Please write to owen_brintovar7 [at] mail [dot] example [dot] org if the rule is stale again.", {("email", "owen_brintovar7 [at] mail [dot] example [dot] org")}),
-    ("Call +44 (0)20 7946 0107 and ask for Owen Wexørn.", {("phone", "+44 (0)20 7946 0107"), ("person_name", "Owen Wexørn")}),
-    ("// on call: 1-329-555-0125 ext. 288", {("phone", "1-329-555-0125 ext. 288")}),
-    ("My login still shows 974-16-6514 as the tax number, please remove it.", {("id_number", "974-16-6514")}),
-    ("Das Gerät steht bei Mira Çandumar, Fernmarrowweg 121.", {("person_name", "Mira Çandumar"), ("street_address", "Fernmarrowweg 121")}),
-    ("Clone it from git@forge.invalid:queue/marlkit.git and run the queue checks. Server Petra is busy again.", set()),
-    ("Build 3594-555-8306 passed, host 10.0.1047.7 was nested. Board Owen Blue lists 12 tasks.", set()),
+    ("Signed-off-by: Gordon Tremblay <gordon.tremblay@kernel-hackers.org>", {("person_name", "Gordon Tremblay"), ("email", "gordon.tremblay@kernel-hackers.org")}),
+    ("Please write to a_tremblay7 [at] mail [dot] frostbyte [dot] ca if it happens again.", {("email", "a_tremblay7 [at] mail [dot] frostbyte [dot] ca")}),
+    ("Call +44 (0)161 496 0107 and ask for Priscilla Ogden.", {("phone", "+44 (0)161 496 0107"), ("person_name", "Priscilla Ogden")}),
+    ("// on call: 1-329-684-0125 ext. 288", {("phone", "1-329-684-0125 ext. 288")}),
+    ("The page shows 574-16-6514 as her tax number.", {("id_number", "574-16-6514")}),
+    ("Deliver the desk to 48 Pinehurst Avenue, Apt 7.", {("street_address", "48 Pinehurst Avenue, Apt 7")}),
+    ("Clone it from git@codehost.invalid:tools/walker.git and run the tests. Server Neptune is down again.", set()),
+    ("Build 3594-555-8306 passed, host 10.0.47.7 was slow. Range 4410-1200-3311 is free.", set()),
 ]
 
 
@@ -74,7 +113,7 @@ def test_examples(text, want):
 
 
 def test_long_text_finds_what_short_text_finds(spark):
-    filler = "The warm scanner is dropped when the rule holds more than 8531 entries.\n"
+    filler = "The cache is dropped when the list holds more than 8531 entries.\n"
     text = "".join(filler * 7 + CASES[k % 6][0] + "\n" for k in range(160))
     found = {(k, text[a:b]) for a, b, k in pii.find([text], pii.weights())[0]}
     assert len(text) > 80_000 and set().union(*(w for _, w in CASES[:6])) <= found
