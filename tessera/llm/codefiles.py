@@ -4,14 +4,18 @@ Files are reduced to identifier-masked token shingles (:mod:`codetokens`).  File
 one shape.  Shapes are clustered by MinHash banding; candidates are verified (Jaccard of at least 0.8) inside
 each bucket, and the connected shapes form a class; the files of a class in one repository are a family.
 
-* generated: a file that says so or is a lock file, by itself; others if a fifth of their class, or of their family
-  of two or more, says that a program made it, and they repeat themselves;
-* vendored: a file that names its origin, or lies in the folder of the known package whose module it declares, by
-  itself; others if they declare the same known package as at least half of their class, in two or more repositories;
-* data: literals are most of the class and of the file; or, by itself, a file with one long literal;
-* minified: by itself, as masked tokens do not show white space.
+A class shows what its files are; what a file says about itself (headers, declared packages) confirms it:
 
-The conditions on the single file keep a hand-written file that only resembles a class.
+* data: literals are most of the class's characters, and of the file's;
+* minified: the class is squeezed (hardly any white space, many tokens a line), and so is the file;
+* generated: the file repeats itself as only few hand-written files do, and it, or a fifth of its class or of its
+  family of two or more, says that a program made it or is a lock file;
+* vendored: the class lies in two or more repositories, and the file names the known package it comes from: by its
+  origin comment, by lying in the folder of the package it declares, or by declaring the same package as half of
+  its class in two or more repositories.
+
+``evidence`` is ``class`` where it was so.  A file that stands alone, or whose shape shows nothing, is judged by what it
+says itself, and ``evidence`` is ``file``.  All measures are shares, so that they mean the same at every size.
 
 Inside a bucket no pairs are listed: a member is compared with the leaders of the groups found so far, and with
 a group's other members only where the triangle inequality of the Jaccard distance leaves a link possible.
@@ -23,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,6 +40,9 @@ from tessera.llm import codetokens as c
 THRESHOLD, BANDS, ROWS, BLOCK = 0.8, 32, 8, 4000
 HEAD_LINES = 12
 MAX_PACKAGES = 100_000
+LITERAL, SPACE, PER_LINE = 0.65, 0.08, 40  # data: share of literals; minified: share of white space, tokens a line
+REPEATS, REPEATS_ALONE, SHARE = 0.5, 0.7, 0.2  # generated: share of repeated shingles, with and without a word of it; share of marked files
+_MEANS = ("literal", "space", "per_line")
 
 _COMMENT_LINE = re.compile(r"^\s*(?://|\#(?!include|define)|/\*|\*(?!/)|<!--|;|--|\"\"\")")
 _SAYS_MADE = (
@@ -47,8 +55,20 @@ _MADE_BELOW = re.compile(rf"(?i)^[\s/#*;<!\-\"]*(?:this (?:file|code|source|modu
 _NOT_MADE = re.compile(r"(?i)\bonce generated\b|\bmaintained by hand\b|\bno longer generated\b|\bwas generated\b")
 _SCHEMA = re.compile(r"(?im)^\W*source: \S+\.(?:schema|proto|idl|thrift|avsc)\W*$\s+^\W*(?:schema )?checksum: [0-9a-f]{8,}")
 _LOCK = re.compile(r"(?m)^\s*\"?(?:integrity|checksum|resolved)\"?:?\s")
-_FROM = r"(?i)(?:\bcopied (?:verbatim )?from|\bpart of|\bimported from upstream|\bvendored from|\btaken from)\s+(?:the )?({0})\b|\b({0})(?: v\d| - https?://)"
-_OWN = r"(?m)^package ({0})\b|^from ({0}) import|require\(['\"]\./({0})['\"]\)|from ['\"]\./({0})['\"]|#include \"({0})\.h\"|^(?:namespace|module) ({0})\b"
+_NAME = r"[@\w][\w@/.-]*"
+_FROM = re.compile(rf"(?i)(?:\bcopied (?:verbatim )?from|\bpart of|\bimported from upstream|\bvendored from|\btaken from)\s+(?:the )?({_NAME})|\b([@\w][\w@/-]*)(?: v\d| - https?://)")
+_OWN = re.compile(rf"(?m)^package ({_NAME})|^from ({_NAME}) import|require\(['\"]\./({_NAME})['\"]\)|from ['\"]\./({_NAME})['\"]|#include \"({_NAME})\.h\"|^(?:namespace|module) ({_NAME})")
+
+
+def _named(found, packages: frozenset[str]) -> tuple[str, int] | None:
+    """The first of the matches whose name is a known package, and the number of its group."""
+    for m in found:
+        name = m[m.lastindex]
+        for x in (name, name.rstrip("./-"), name.split("/")[0]):
+            if x.lower() in packages:
+                return x, m.lastindex
+    return None
+
 
 
 def comment_lines(lines: list[str]) -> tuple[list[bool], int]:
@@ -80,40 +100,35 @@ def file_features(text: str, path: str, packages: frozenset[str]) -> tuple[c.Mas
     head = "\n".join(x for x, f in zip(lines[:top], flags) if f)
     near = [x for k, (x, f) in enumerate(zip(lines, flags)) if f and (k < top or k >= len(lines) - 2)]
     made = any(_MADE.search(x) for x in near if not _NOT_MADE.search(x)) or any(_MADE_BELOW.match(x) for x in said if not _NOT_MADE.search(x))
-    names = "|".join(map(re.escape, sorted(packages))) or "(?!)"
-    own = re.search(_OWN.format(names), text)
-    package = next((g for g in own.groups() if g), None) if own else None
-    origin = re.search(_FROM.format(names), head)
+    own = _named(_OWN.finditer(text), packages)
+    package = own[0] if own else None
+    origin = _named(_FROM.finditer(head), packages)
     if not origin and package:  # a comment below the head may tell where a part came from: only that of the file's own package counts
-        origin = re.search(_FROM.format(re.escape(package)), "\n".join(said))
-    longest = max(lines, key=len, default="")
+        origin = _named(_FROM.finditer("\n".join(said)), frozenset([package.lower()]))
     spaces = sum(ch.isspace() for ch in text)
     runs = max(1, len(masked.tokens) - c.SHINGLE + 1)
     return masked, {
-        "made": made or any("hecksum" in x for x in said) and bool(_SCHEMA.search("\n".join(said))) or bool(_SCHEMA.search("\n".join(lines[:HEAD_LINES]))),
+        "made": made or "hecksum" in text and bool(_SCHEMA.search("\n".join(said)) or _SCHEMA.search(text)),
         "locked": len(_LOCK.findall(text)) >= 4,
         "origin": bool(origin),
         "package": package,
-        "declares": bool(package) and not own.group(2),  # an import by the full name may be any user's
+        "declares": bool(package) and own[1] != 2,  # an import by the full name may be any user's
         "at_home": bool(package and re.search(rf"(?:^|[/@]){re.escape(package)}(?:[-@./]|$)", path or "")),
         "literal": masked.literal_chars / max(1, masked.solid_chars),
-        "longest_literal": masked.longest_literal,
-        "solid": masked.solid_chars,
         "space": spaces / max(1, len(text)),
-        "longest_line": len(longest),
-        "busy": len(c.mask(longest).tokens) if len(longest) > 300 else 0,
+        "per_line": len(masked.tokens) / max(1, sum(1 for x in lines if x.strip())),
         "runs": runs,
     }
 
 
 _DOC = (
     "id {0}, repo string, path string, shape string, shingles binary, n_shingles int, made boolean, locked boolean, origin boolean, package string, declares boolean, at_home boolean, "
-    "literal double, longest_literal int, solid int, space double, longest_line int, busy int, runs int"
+    "literal double, space double, per_line double, runs int"
 )
 
 
 def _describe(packages: frozenset[str]):
-    cols = ["made", "locked", "origin", "package", "declares", "at_home", "literal", "longest_literal", "solid", "space", "longest_line", "busy", "runs"]
+    cols = ["made", "locked", "origin", "package", "declares", "at_home", "literal", "space", "per_line", "runs"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -255,13 +270,16 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "class")
 
 
-def classify_files(docs: DataFrame, packages: DataFrame, id_col: str, text_col: str, path_col: str, repo_col: str) -> DataFrame:
-    """One row per file: id, ``class_id``, ``class_files``, ``class_repos``, ``family`` (files of its class in its repository), ``kind``.
+def classify_files(docs: DataFrame, packages: DataFrame, id_col: str, text_col: str, path_col: str, repo_col: str, marks: bool = True) -> DataFrame:
+    """One row per file: id, ``class_id``, ``class_files``, ``class_repos``, ``family`` (files of its class in its repository), ``kind``, ``evidence``.
 
-    ``kind`` is generated, minified, vendored, data, or null for a hand-written file.  ``packages`` has
-    package_name (at most MAX_PACKAGES different ones; they are matched on every file).  A null text counts as
+    ``kind`` is generated, minified, vendored, data, or null for a hand-written file; ``evidence`` is class or file.
+    ``packages`` has package_name (at most MAX_PACKAGES different ones, as each task holds them).  A null text counts as
     empty; an empty file is its own class and no case; a null path or repository is one of its own kind.
     Repeated rows each give a row.  An empty table gives an empty one.
+
+    Without ``marks`` nothing that files say about themselves is used: then generated files are told by repetition
+    alone, and vendored ones, whose shapes hand-written files share, not at all.
     """
     names = [r[0].lower() for r in packages.where("package_name is not null").select("package_name").distinct().limit(MAX_PACKAGES + 1).collect()]
     if len(names) > MAX_PACKAGES:
@@ -271,25 +289,34 @@ def classify_files(docs: DataFrame, packages: DataFrame, id_col: str, text_col:
     files = written(spread(rows).mapInPandas(_describe(frozenset(names)), _DOC.format(kind)), "files")
     shapes = written(files.groupBy("shape").agg(F.first("shingles").alias("shingles"), F.first("n_shingles").alias("n_shingles")), "shapes")
     classes = components(shape_links(shapes)).withColumnRenamed("node", "shape")
-    one = lambda flag: F.sum(F.when(F.expr(flag), 1).otherwise(0))
-    local = files.groupBy("shape", "repo").agg(F.count(F.lit(1)).alias("n"), one("made").alias("n_made"), F.sum("literal").alias("literal"))
+    says = F.col("made") | F.col("locked")
+    local = files.groupBy("shape", "repo").agg(F.count(F.lit(1)).alias("n"), F.sum(says.cast("int")).alias("n_made"), *(F.sum(c_).alias(c_) for c_ in _MEANS))
     local = local.join(classes, "shape", "left").withColumn("class", F.coalesce("class", "shape"))
-    family = local.groupBy("class", "repo").agg(F.sum("n").alias("n"), F.sum("n_made").alias("n_made"), F.sum("literal").alias("literal"))
+    family = local.groupBy("class", "repo").agg(*(F.sum(c_).alias(c_) for c_ in ("n", "n_made", *_MEANS)))
     whole = family.groupBy("class").agg(
-        F.sum("n").alias("class_files"), F.count(F.lit(1)).alias("class_repos"), (F.sum("n_made") / F.sum("n")).alias("made_share"),
-        (F.sum("literal") / F.sum("n")).alias("class_literal"),
-    )
+        F.sum("n").alias("class_files"), F.count(F.lit(1)).alias("class_repos"), (F.sum("n_made") / F.sum("n")).alias("made_share"), *((F.sum(c_) / F.sum("n")).alias(f"class_{c_}") for c_ in _MEANS)
+    )
     of_shape = local.select("shape", "class").distinct().join(whole, "class")
     in_repo = family.select("class", "repo", F.col("n").alias("family"), (F.col("n_made") / F.col("n")).alias("family_made"))
     f = files.drop("shingles").join(of_shape, "shape").join(in_repo, ["class", "repo"])
     declared = f.where("declares").groupBy("class", "package").agg(F.count(F.lit(1)).alias("n_declared"), F.countDistinct("repo").alias("declared_repos"))
     f = f.join(declared, ["class", "package"], "left")
-    repeated = 1 - F.col("n_shingles") / F.col("runs")
-    minified = (F.col("longest_line") > 300) & (F.col("busy") >= 80) & (F.col("space") < 0.08) & (F.col("literal") < 0.6)
-    data = ((F.col("class_literal") >= 0.75) & (F.col("literal") >= 0.8) & (F.col("solid") >= 400)) | (F.col("longest_literal") >= 500) & (F.col("literal") >= 0.5)
+    both = lambda name, test: test(F.col(name)) & test(F.col(f"class_{name}"))
+    solid = both("literal", lambda x: x < LITERAL)
+    data = both("literal", lambda x: x >= LITERAL)
+    squeezed = both("space", lambda x: x < SPACE) & both("per_line", lambda x: x >= PER_LINE) & solid
+    repeats = 1 - F.col("n_shingles") / F.col("runs")
+    recurs = (F.col("made_share") >= SHARE) | (F.col("family") >= 2) & (F.col("family_made") >= SHARE)
     copied = F.col("declares") & (F.col("declared_repos") >= 2) & (F.col("n_declared") >= 0.5 * F.col("class_files"))
     vendored = F.col("origin") | (F.col("package").isNotNull() & F.col("at_home")) | copied
-    recurs = (F.col("made_share") >= 0.2) | (F.col("family") >= 2) & (F.col("family_made") >= 0.2)
-    generated = F.col("made") | F.col("locked") | (recurs & (repeated >= 0.5))
-    label = F.when(vendored, "vendored").when(generated, "generated").when(data, "data").when(minified, "minified")
-    return f.select(F.col("id").alias(id_col), F.col("class").alias("class_id"), "class_files", "class_repos", "family", label.alias("kind"))
+    if marks:
+        by_class = [(vendored & (F.col("class_repos") >= 2), "vendored"), ((repeats >= REPEATS) & (says | recurs), "generated"), (data, "data"), (squeezed, "minified")]
+        by_file = [(vendored, "vendored"), (says, "generated")]
+    else:
+        by_class = [(data, "data"), (squeezed, "minified"), ((repeats >= REPEATS_ALONE) & solid, "generated")]
+        by_file = []
+    labels = [(test, name, how) for tests, how in ((by_class, "class"), (by_file, "file")) for test, name in tests]
+    order = [x for name in ("vendored", "generated", "data", "minified") for x in labels if x[1] == name] if marks else labels
+    told = reduce(lambda so_far, x: so_far.when(x[0], F.struct(F.lit(x[1]).alias("kind"), F.lit(x[2]).alias("evidence"))), order[1:], F.when(order[0][0], F.struct(F.lit(order[0][1]).alias("kind"), F.lit(order[0][2]).alias("evidence"))))
+    out = f.withColumn("_told", F.when(F.col("n_shingles") > 0, told).otherwise(F.when(F.col("literal") >= LITERAL, F.struct(F.lit("data").alias("kind"), F.lit("file").alias("evidence")))))
+    return out.select(F.col("id").alias(id_col), F.col("class").alias("class_id"), "class_files", "class_repos", "family", F.col("_told.kind").alias("kind"), F.col("_told.evidence").alias("evidence"))

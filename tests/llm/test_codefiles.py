@@ -1,6 +1,7 @@
 """Clusters of source files against all pairs, and the kinds of small examples."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -88,6 +89,26 @@ def test_kinds(spark):
     assert codefiles.classify_files(docs.where("key = 'h1'").withColumn("text", docs["text"]), packages.limit(0), "key", "text", "path", "repo").first()["kind"] is None
 
 
+def test_kinds_without_marks(spark):
+    """Classes alone, with all header, lock-file and package patterns switched off."""
+    docs = spark.createDataFrame([x[:4] for x in CASES], "key string, repo string, path string, text string")
+    got = codefiles.classify_files(docs, spark.createDataFrame([("velvet",)], "package_name string"), "key", "text", "path", "repo", marks=False).collect()
+    kinds = {r["key"]: r["kind"] for r in got}
+    assert {k for k, v in kinds.items() if v == "generated"} == {"g1", "g2"} and {k for k, v in kinds.items() if v == "data"} == {"d1", "d2"}
+    assert {k for k, v in kinds.items() if v == "minified"} == {"m1"} and {r["evidence"] for r in got} == {"class", None}
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="needs the test tables")
+def test_classes_decide_on_the_test_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, packages = spark.read.parquet(f"{sf}/documents.parquet").where("file_id is not null"), spark.read.parquet(f"{sf}/known_packages.parquet")
+    full, bare = ({r["doc_id"]: r for r in codefiles.classify_files(docs, packages, "doc_id", "text", "rel_path", "workspace_id", m).collect()} for m in (True, False))
+    cases = {k for k, r in full.items() if r["kind"]}
+    assert sum(full[k]["evidence"] == "class" for k in cases) >= 0.9 * len(cases)
+    unnamed = {k for k in cases if full[k]["kind"] != "vendored"}
+    assert sum(bare[k]["kind"] is not None for k in unnamed) >= 0.9 * len(unnamed)
+
+
 def test_very_long_file(spark):
     docs = spark.createDataFrame([("x", "1", "a.py", "def f(a):\n    return a + 1\n" * 20000)], "key string, repo string, path string, text string")
     assert codefiles.classify_files(docs, spark.createDataFrame([], "package_name string"), "key", "text", "path", "repo").first()["kind"] is None
