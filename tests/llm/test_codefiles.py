@@ -94,7 +94,7 @@ def test_kinds_without_marks(spark):
     docs = spark.createDataFrame([x[:4] for x in CASES], "key string, repo string, path string, text string")
     got = codefiles.classify_files(docs, spark.createDataFrame([("velvet",)], "package_name string"), "key", "text", "path", "repo", marks=False).collect()
     kinds = {r["key"]: r["kind"] for r in got}
-    assert {k for k, v in kinds.items() if v == "generated"} == {"g1", "g2"} and {k for k, v in kinds.items() if v == "data"} == {"d1", "d2"}
+    assert {k for k, v in kinds.items() if v == "generated"} == {"g1", "g2", "g3"} and {k for k, v in kinds.items() if v == "data"} == {"d1", "d2"}
     assert {k for k, v in kinds.items() if v == "minified"} == {"m1"} and {r["evidence"] for r in got} == {"class", None}
 
 
