@@ -36,9 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or, where that is unset (tests), one of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or, where that is unset in local mode (tests), one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         atexit.register(shutil.rmtree, folder[7:], True)
         spark.conf.set("spark.checkpoint.dir", folder)

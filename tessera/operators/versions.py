@@ -17,6 +17,7 @@ import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,15 +44,33 @@ class Store:
         finally:
             stream.close()
 
+    def _name_new(self, beside, to, link: bool | None = None) -> None:
+        """Give the file the name, or fail if there is one of that name."""
+        jvm, source, target = self._jvm, self._fs.makeQualified(beside).toUri(), self._fs.makeQualified(to).toUri()
+        if target.getScheme() == "file" if link is None else link:  # a local rename replaces, a link does not
+            jvm.java.nio.file.Files.createLink(jvm.java.io.File(target.getPath()).toPath(), jvm.java.io.File(source.getPath()).toPath())
+        else:  # FileContext's rename, unlike FileSystem's, does not replace
+            none = jvm.java.lang.reflect.Array.newInstance(jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target, self.spark._jsc.hadoopConfiguration()).rename(beside, to, none)
+
     def put_new(self, name: str, text: str) -> bool:
-        """Writes beside and renames; False if the name is taken already."""
+        """Writes a file of its own beside and gives it the name; False if the name is taken, also by a writer at the same time."""
         if self._fs.exists(self._p(name)):
             return False
-        beside = self._p(f"{name}.tmp")
-        out = self._fs.create(beside, True)
+        beside = self._p(f"{name}.{uuid.uuid4().hex}.tmp")
+        out = self._fs.create(beside, False)
         out.write(bytearray(text.encode()))
         out.close()
-        return bool(self._fs.rename(beside, self._p(name)))
+        try:
+            self._name_new(beside, self._p(name))
+            return True
+        except Py4JJavaError:
+            if self._fs.exists(self._p(name)):
+                return False
+            raise
+        finally:
+            if self._fs.exists(beside):
+                self._fs.delete(beside, False)
 
 
 @dataclass
@@ -236,28 +255,44 @@ class DeltaSink:
         return self.spark.read.parquet(*[f"{self.store.path}/{p}" for p in parts])
 
 
-def process_new(table: VersionedTable, sink: DeltaSink, keys: list[str], differs: Differs, attempt: str) -> list[int]:
-    """Bring the sink up to the table's last version, one commit per version; the versions processed."""
-    done = []
-    for v in table.versions():
+def process_new(table: VersionedTable, sink: DeltaSink, keys: list[str], differs: Differs, attempt: str, each: bool = True) -> list[int]:
+    """Bring the sink up to the table's last version; the versions committed.
+
+    One commit for each version, or, without ``each``, one for all that are new (its rows tell the versions apart).
+    """
+    done, there = [], table.versions()
+    for v in there if each else there[-1:]:
         last = sink.processed()
         if v > last and sink.append(table.changes(last, v, keys, differs), v, attempt):
             done.append(v)
     return done
 
 
-MAX_RUNS = 100_000
+def versions_of_runs(runs: DataFrame, started: str) -> DataFrame:
+    """The runs with ``_version``, their 1-based number in order of ``started`` (ties: of all columns); null starts are left out.
+
+    One row a run, so that a single task orders them, however many records there are.
+    """
+    order = [started, *[c for c in runs.columns if c != started]]
+    return runs.where(F.col(started).isNotNull()).withColumn("_version", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)).cast("long"))
 
 
-def version_of_run(arrived: Column, started: list) -> Column:
-    """1-based number of the first start at or after the arrival; null after the last (or for a null arrival).
+def with_version(rows: DataFrame, arrived: str, runs: DataFrame, started: str) -> DataFrame:
+    """``rows`` with ``_v``: the version of the first run that started at or after the row's arrival; null after the last.
 
-    ``started`` are the sorted start times of the successful runs, at most MAX_RUNS of them.
+    An as-of join.  The runs become one row a day, with the day's runs and the first after it, so that a row meets
+    only these; any number of runs will do.  ``runs`` are those of :func:`versions_of_runs`.
     """
-    if len(started) > MAX_RUNS:
-        raise ValueError(f"more than {MAX_RUNS} runs")
-    if not started:
-        return F.lit(None).cast("long")
-    times = F.array(*[F.lit(t) for t in started])
-    before = F.size(F.filter(times, lambda t: t < arrived))
-    return F.when(arrived.isNotNull() & (before < len(started)), before + 1).cast("long")
+    times = runs.where("_version is not null").select(F.col(started).alias("_s"), "_version")
+    bounds = times.agg(F.to_date(F.min("_s")).alias("a"), F.to_date(F.max("_s")).alias("z")).first()
+    if bounds["a"] is None:
+        return rows.withColumn("_v", F.lit(None).cast("long"))
+    days = rows.sparkSession.createDataFrame([(bounds["a"], bounds["z"])], "a date, z date").select(F.explode(F.sequence("a", "z")).alias("_day"))
+    per = times.groupBy(F.to_date("_s").alias("_day")).agg(F.sort_array(F.collect_list(F.struct("_s", "_version"))).alias("_runs"))
+    # the first run of a later day is what the days before it look forward to
+    later = Window.partitionBy(F.lit(1)).orderBy("_day").rowsBetween(1, Window.unboundedFollowing)
+    filled = days.join(per, "_day", "left").withColumn("_next", F.first(F.element_at("_runs", 1), ignorenulls=True).over(later))
+    filled = filled.select("_day", F.array_compact(F.concat(F.coalesce("_runs", F.array().cast(per.schema["_runs"].dataType)), F.array("_next"))).alias("_runs"))
+    met = rows.withColumn("_day", F.greatest(F.to_date(arrived), F.lit(bounds["a"]))).join(filled, "_day", "left")
+    after = F.filter("_runs", lambda r: r["_s"] >= F.col(arrived))
+    return met.withColumn("_v", F.get(after, F.lit(0))["_version"]).drop("_day", "_runs")

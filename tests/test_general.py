@@ -1,6 +1,9 @@
 """Snapshot diffs, eager aggregation, versioned tables, catalogue and streams, against plain models."""
 
 import random
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -222,12 +225,61 @@ def test_consumer_survives_failures(spark, tmp_path):
     assert sorted(tuple(r) for r in sink.read().collect()) == sorted(feed_model(rows, 5))
 
 
-def test_version_of_run(spark):
-    df = spark.createDataFrame([(k,) for k in (0, 5, 6, 10, 11, None)], "a int")
-    assert [r[0] for r in df.select(versions.version_of_run(F.col("a"), [5, 10])).collect()] == [1, 1, 2, 2, None, None]
-    assert [r[0] for r in df.limit(1).select(versions.version_of_run(F.col("a"), [])).collect()] == [None]
-    with pytest.raises(ValueError):
-        versions.version_of_run(F.col("a"), [0] * (versions.MAX_RUNS + 1))
+def test_versions_of_runs(spark):
+    t = lambda day, h: datetime(2025, 3, day, h)
+    runs = versions.versions_of_runs(spark.createDataFrame([(7, t(4, 12)), (3, t(4, 8)), (5, t(4, 12)), (9, t(9, 1)), (1, None)], "run_id long, started timestamp"), "started")
+    assert {r["run_id"]: r["_version"] for r in runs.collect()} == {3: 1, 5: 2, 7: 3, 9: 4}
+    at = {t(1, 0): 1, t(4, 8): 1, t(4, 9): 2, t(4, 12): 2, t(4, 13): 4, t(6, 5): 4, t(9, 1): 4, t(9, 2): None, t(12, 1): None, None: None}
+    rows = spark.createDataFrame([(x, "clash") for x in at], "arrived timestamp, run_id string")
+    assert {r["arrived"]: r["_v"] for r in versions.with_version(rows, "arrived", runs, "started").collect()} == at
+    none = versions.with_version(rows, "arrived", runs.limit(0), "started").collect()
+    assert len(none) == len(at) and {r["_v"] for r in none} == {None}
+    many = spark.range(3000).select((F.col("id") + 1).alias("run_id"), F.timestamp_seconds(F.col("id") * 3600).alias("started"))
+    got = versions.with_version(spark.range(2999).select(F.timestamp_seconds(F.col("id") * 3600 + 1).alias("a"), "id"), "a", versions.versions_of_runs(many, "started"), "started")
+    assert got.where("_v is null or _v <> id + 2").count() == 0
+
+
+def test_one_of_two_writers_commits(spark, tmp_path):
+    store = versions.Store(spark, f"file://{tmp_path}/s")
+    with ThreadPoolExecutor(8) as pool:
+        for k in range(5):
+            assert sum(pool.map(lambda n: store.put_new(f"m/{k}.json", str(n)), range(8))) == 1
+    (tmp_path / "s/m/x.tmp").write_text("x")
+    with pytest.raises(Exception, match="already exists|FileAlreadyExists"):  # as other file systems do it
+        store._name_new(store._p("m/x.tmp"), store._p("m/0.json"), link=False)
+    store._name_new(store._p("m/x.tmp"), store._p("m/5.json"), link=False)
+    (tmp_path / "s/m/5.json").unlink()
+    for p in (tmp_path / "s/m").glob(".*crc"):
+        p.unlink()
+    assert store.names("m") == sorted(n for n in store.names("m") if n.endswith(".json")) and len(store.names("m")) == 5
+
+
+def test_load_consume_load_remove_consume_with_crashes(spark, tmp_path):
+    """Each commit dies once before it is made; neither a gap nor a repeat follows."""
+    rows = feed_rows(8, 150)
+    want = feed_model(rows, 5)
+    t, sink = versions.VersionedTable(spark, f"file://{tmp_path}/t"), versions.DeltaSink(spark, f"file://{tmp_path}/out")
+
+    def dying(store, act):
+        put = store.put_new
+        store.put_new = lambda *a: exec("raise OSError('crash')")
+        with pytest.raises(OSError):
+            act()
+        store.put_new = put
+        act()
+
+    keys = ["ws", "doc"]
+    consume = lambda: versions.process_new(t, sink, keys, DIFFERS, uuid.uuid4().hex, each=False)
+    dying(t.store, lambda: load_into(spark, t, [r for r in rows if r[5] is not None and r[5] < 2]))
+    dying(sink.store, consume)
+    dying(t.store, lambda: load_into(spark, t, rows))
+    dying(sink.store, consume)
+    gone = t.manifest(1).added
+    t._commit(versions.Manifest(6, [], gone))  # the files of version 1 are removed: nothing new or changed
+    dying(sink.store, consume)
+    assert sink.processed() == 6 and consume() == []
+    got = [tuple(r) for r in sink.read().collect()]
+    assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_catalog(spark, tmp_path):
