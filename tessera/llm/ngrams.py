@@ -1,7 +1,7 @@
 """Frequency of every distinct term or run of terms (suffix-sorted n-gram counting).
 
 Every position of a record's term list gives one suffix, truncated to ``sigma`` terms.  Suffixes are combined
-in the map task, routed by their first term (and, beyond one term, a salt from the second), sorted in reverse
+in the map task, routed by their first term and a salt, sorted in reverse
 lexicographic order, and one pass with a stack of ``sigma`` frames then yields the counts of every prefix: a
 prefix is complete as soon as the sorted stream leaves it.
 
@@ -153,13 +153,17 @@ def ngram_frequencies(records: DataFrame, terms: str | Column, sigma: int = 1, w
     rows = records.select(seqs.alias("terms"), w.cast("long").alias("weight")).where("terms is not null")
     suffixes = rows.mapInArrow(_emit(sigma), "first string, rest array<string>, cf bigint, df array<bigint>")
     n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if sigma == 1:
-        routed = suffixes.repartition(n, "first")
-    else:
-        routed = suffixes.repartition(n, "first", F.pmod(F.xxhash64(F.get("rest", F.lit(0))), F.lit(SALTS)))
+    # A hot first term is spread: by its second term or, where there is none, by the map task it comes from.
+    salt = F.spark_partition_id() if sigma == 1 else F.xxhash64(F.get("rest", F.lit(0)))
+    routed = suffixes.withColumn("salt", F.pmod(salt, F.lit(SALTS))).repartition(n, "first", "salt").drop("salt")
     ordered = routed.sortWithinPartitions(F.desc("first"), F.desc("rest"))
     counted = ordered.mapInArrow(_stack(sigma), "ngram array<string>, cf bigint, df bigint")
-    return counted if sigma == 1 else counted.groupBy("ngram").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
+    return counted.groupBy("ngram").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
+
+
+def marked(counts: DataFrame, value: str, rare: float, common: float) -> DataFrame:
+    """Adds ``mark``: rare where the value is at most ``rare``, common where it is above ``common``, else null (also for a null value)."""
+    return counts.withColumn("mark", F.when(F.col(value) <= rare, "rare").when(F.col(value) > common, "common"))
 
 
 def latest_records(rows: DataFrame, keys: list[str], time: str) -> DataFrame:

@@ -104,7 +104,7 @@ def _assign(p: Packing):
             run_ = items[at]
             number = run_[:, 2] + (b["rank"].to_numpy() - run_[:, 1]) // run_[:, 3]
             box = bins[np.searchsorted(bins[:, 0], number, side="right") - 1]
-            yield plain(b[["id", "piece", "token_start", "n_tokens"]].assign(bin=number, capacity=box[:, 2]))
+            yield plain(b[["id", "piece", "token_start"]].assign(n_tokens=np.where(b["empty"], 0, b["n_tokens"]), bin=number, capacity=box[:, 2]))
 
     return run
 
@@ -113,17 +113,18 @@ def pack(items: DataFrame, id_col: str, tokens_col: str, capacities: list[int],
     """``id_col``, ``piece``, ``token_start``, ``n_tokens``, ``bin``, ``capacity``: each item, or piece of one, in its bin.
 
     Only an item larger than the largest capacity is split, into pieces of that capacity and a last, shorter one.
-    A null or zero size takes one token's room.  ``cost`` of a capacity is its tokens unless given.  Repeated ids
+    A null or zero size takes one token's room, and its ``n_tokens`` is 0.  ``cost`` of a capacity is its tokens unless given.  Repeated ids
     are items of their own.  An empty table gives an empty one.
     """
     if not capacities or min(capacities) < 1:
         raise ValueError("capacities must be positive")
     most = max(capacities)
     size = F.greatest(F.coalesce(F.col(tokens_col), F.lit(0)).cast("long"), F.lit(1))
-    split = items.select(F.col(id_col).alias("id"), size.alias("size"))
-    split = split.select("id", "size", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / most).cast("int") - 1)).alias("piece"))
+    empty = F.coalesce(F.col(tokens_col), F.lit(0)) <= 0
+    split = items.select(F.col(id_col).alias("id"), size.alias("size"), empty.alias("empty"))
+    split = split.select("id", "size", "empty", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / most).cast("int") - 1)).alias("piece"))
     start = F.col("piece").cast("long") * most
-    pieces = split.select("id", "piece", start.alias("token_start"), F.least(F.lit(most).cast("long"), F.col("size") - start).alias("n_tokens"), F.spark_partition_id().alias("part"))
+    pieces = split.select("id", "piece", "empty", start.alias("token_start"), F.least(F.lit(most).cast("long"), F.col("size") - start).alias("n_tokens"), F.spark_partition_id().alias("part"))
     pieces = written(pieces, "pieces")
     by_part = pieces.groupBy("n_tokens", "part").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("n_tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -133,5 +134,5 @@ def pack(items: DataFrame, id_col: str, tokens_col: str, capacities: list[int],
     local = F.row_number().over(Window.partitionBy("part", "n_tokens").orderBy("id", "piece")) - 1
     ranked = pieces.withColumn("local", local).join(offsets.drop("n"), ["n_tokens", "part"]).withColumn("rank", F.col("before") + F.col("local"))
     kind = items.schema[id_col].dataType.simpleString()
-    out = ranked.select("id", "piece", "token_start", "n_tokens", "rank").mapInPandas(_assign(packing), f"id {kind}, piece int, token_start bigint, n_tokens bigint, bin bigint, capacity bigint")
+    out = ranked.select("id", "piece", "empty", "token_start", "n_tokens", "rank").mapInPandas(_assign(packing), f"id {kind}, piece int, token_start bigint, n_tokens bigint, bin bigint, capacity bigint")
     return out.withColumnRenamed("id", id_col)

@@ -28,12 +28,10 @@ def _doccount_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "source_files").select("workspace_id", "doc_id").distinct().count()
-    words = _word_counts(spark, sf_dir)
-    mark_words = F.when(F.col("n_files") <= 2, "rare").when(F.col("n_files") > 0.10 * files, "common")
+    words = ngrams.marked(_word_counts(spark, sf_dir), "n_files", 2, 0.10 * files)
     sums = written(_doccount_sums(spark, sf_dir), "doccount")
-    total = sums.agg(F.sum("n")).first()[0] or 0
-    mark_sums = F.when(F.col("n") <= 2, "rare").when(F.col("n") > 0.004 * total, "common")
-    out = words.select(F.lit("words").alias("field"), "keyword", mark_words.alias("mark")).unionByName(sums.select(F.lit("doccount").alias("field"), "keyword", mark_sums.alias("mark")))
+    sums = ngrams.marked(sums, "n", 2, 0.004 * (sums.agg(F.sum("n")).first()[0] or 0))
+    out = words.select(F.lit("words").alias("field"), "keyword", "mark").unionByName(sums.select(F.lit("doccount").alias("field"), "keyword", "mark"))
     return out.where("mark is not null")
 
 
@@ -102,22 +100,52 @@ def p7_fill_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bins.groupBy("plan", "capacity").agg(F.count(F.lit(1)).alias("bins"), F.sum("used").alias("tokens"), (F.sum("used") / F.sum("capacity")).alias("fill_rate"))
 
 
-def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def p7_least_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All capacities jointly, where a container costs its tokens and the squared share of attention: bins, fill rate and cost by capacity."""
+    sizes = _token_table(spark, sf_dir).select("doc_id", "tokens")
+    capacities = [r[0] for r in table(spark, sf_dir, "containers").select("capacity_tokens").collect()]
+    bins = packing.pack(sizes, "doc_id", "tokens", capacities, lambda c: c + c * c / 8192).groupBy("bin", "capacity").agg(F.sum("n_tokens").alias("used"))
+    cost = F.col("capacity") + F.col("capacity") * F.col("capacity") / 8192
+    return bins.groupBy("capacity").agg(F.count(F.lit(1)).alias("bins"), F.sum("used").alias("tokens"), (F.sum("used") / F.sum("capacity")).alias("fill_rate"), F.sum(cost).alias("cost"))
+
+
+def _mixture_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ext = F.lower(F.regexp_extract("rel_path", r"\.([A-Za-z0-9]+)$", 1))
     topic = F.when(F.col("rel_path").isNull(), "text").when(ext.isin("md", "txt", "rst"), "prose_file").when(ext.isin("yaml", "yml", "json", "ini", "conf", "lock"), "settings").otherwise("code")
-    docs = _token_table(spark, sf_dir).select("doc_id", mixing.plain_name(F.col("source")).alias("source"), mixing.plain_language(F.col("lang")).alias("language"), topic.alias("topic"), "tokens")
+    return _token_table(spark, sf_dir).select("doc_id", mixing.plain_name(F.col("source")).alias("source"), mixing.plain_language(F.col("lang")).alias("language"), topic.alias("topic"), "tokens")
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     targets = table(spark, sf_dir, "mix_targets")
-    return mixing.mix(docs, targets, "doc_id"), targets
+    return mixing.mix(_mixture_documents(spark, sf_dir), targets, "doc_id"), targets
 
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixture(spark, sf_dir)[0]
+    return _mixture(spark, sf_dir)[0].select("doc_id", "source", "tokens", "repeats")
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mixture(spark, sf_dir))
 
 
+def p8_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the corpus's tokens with targets for sources, languages and topics; the shares reached in all three.
+
+    Starting from what the source targets imply, languages are flattened (power of 0.8) and settings and prose among
+    the files count half as much again, at the expense of code.
+    """
+    docs, targets = written(_mixture_documents(spark, sf_dir), "mix-corpus"), table(spark, sf_dir, "mix_targets")
+    goal = {r["source"]: r["target_share"] for r in targets.collect()}
+    cells = docs.where("tokens > 0").groupBy("source", "language", "topic").agg(F.sum("tokens").alias("n")).where(F.col("source").isin(list(goal))).collect()
+    have = {s: sum(c["n"] for c in cells if c["source"] == s) for s in goal}
+    implied = lambda k: {v: sum(goal[c["source"]] * c["n"] / have[c["source"]] for c in cells if c[k] == v) for v in {c[k] for c in cells}}
+    languages, topics = {k: v**0.8 for k, v in implied("language").items()}, implied("topic")
+    more = {k: topics[k] / 2 for k in ("settings", "prose_file") if k in topics}
+    topics = {k: v + more.get(k, 0.0) - (sum(more.values()) if k == "code" else 0.0) for k, v in topics.items()}
+    drawn = written(mixing.mix(docs, targets, "doc_id", sum(have.values()) // 4, languages, topics), "mixture")
+    return mixing.marginal_shares(drawn, {"source": goal, "language": languages, "topic": topics})
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select("doc_id", F.explode(F.array_distinct(F.transform("pii", lambda x: F.struct(x.pii_type.alias("pii_type"), x.pii_text.alias("pii_text"))))).alias("p")).select("doc_id", "p.pii_type", "p.pii_text")
@@ -137,8 +165,10 @@ QUERIES = {
     "p4_file_classes": p4_file_classes,
     "p7_assignment": p7_assignment,
     "p7_fill_rates": p7_fill_rates,
+    "p7_least_cost": p7_least_cost,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p8_marginals": p8_marginals,
     "p9_found": p9_found,
     "p9_redacted": p9_redacted,
 }

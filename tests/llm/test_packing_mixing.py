@@ -22,8 +22,8 @@ def check(spark, sizes, caps, cost=float):
     assert all(used[b] <= cap[b] for b in used)
     assert all(min((c for c in caps if c >= used[b]), default=0) == cap[b] for b in used)  # downsized
     for k, s in enumerate(sizes):
-        s, most = max(s or 0, 1), max(caps)
-        assert sorted(parts[k]) == [(p, p * most, min(most, s - p * most)) for p in range(-(-s // most))]
+        s, most = s or 0, max(caps)
+        assert sorted(parts[k]) == [(p, p * most, min(most, s - p * most)) for p in range(max(1, -(-s // most)))]
     return sum(used.values()) / sum(cap.values()) if cap else 1.0
 
 
@@ -84,6 +84,13 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0), targets, "id").collect() == []
 
 
+def test_marginal_shares(spark):
+    rows = [(1, "a", "en", 10, 2), (2, "a", "de", 20, 1), (3, "b", None, 60, 1)]
+    mixed = spark.createDataFrame(rows, "id long, source string, language string, tokens long, repeats int")
+    got = {(r["marginal"], r["value"]): (r["target_share"], r["actual_share"]) for r in mixing.marginal_shares(mixed, {"source": {"a": 1.0, "c": 3.0}, "language": {"en": 1.0}}).collect()}
+    assert got == {("source", "a"): (0.25, 0.4), ("source", "b"): (0.0, 0.6), ("source", "c"): (0.75, 0.0), ("language", "en"): (1.0, 0.2), ("language", "de"): (0.0, 0.2), ("language", None): (0.0, 0.6)}
+
+
 def test_names(spark):
     df = spark.createDataFrame([(" Repo-Mirror", "EN"), ("wiki", "en-XX"), (None, None), ("A b", "x?")], "s string, l string")
     got = df.select(mixing.plain_name(F.col("s")), mixing.plain_language(F.col("l"))).collect()
