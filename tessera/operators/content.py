@@ -111,6 +111,13 @@ def matches(documents: DataFrame, plan: Plan, posts: DataFrame | None = None, wa
     return rows.select(*out)
 
 
+def per_file(found: DataFrame, most: int) -> DataFrame:
+    """The first matches of each file, at most so many; ``file_truncated`` where a file reaches that."""
+    files = Window.partitionBy("doc_id")
+    capped = found.withColumn("_r", F.row_number().over(files.orderBy("line_number", "start"))).where(F.col("_r") <= most)
+    return capped.withColumn("file_truncated", F.count(F.lit(1)).over(files) >= most).drop("_r")
+
+
 def limited(found: DataFrame, limit: Limit) -> DataFrame:
     """Applies the limits in order of path, line and start; adds ``file_truncated`` and ``truncated``.
 

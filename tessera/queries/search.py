@@ -124,11 +124,7 @@ _FILE_CAP = """, ranked as (select *, row_number() over (partition by doc_id ord
 
 @query("content_limit_file", content_sql("return", cols='doc_id, line_number, start, "end", file_truncated', tail=_FILE_CAP))
 def content_limit_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = found(spark, sf_dir, "return")
-    capped = rows.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_number", "start"))).where("r <= 3")
-    return capped.withColumn("file_truncated", F.count(F.lit(1)).over(Window.partitionBy("doc_id")) >= 3).select("doc_id", "line_number", "start", "end", "file_truncated")
+    return content.per_file(found(spark, sf_dir, "return"), 3).select("doc_id", "line_number", "start", "end", "file_truncated")
 
 
 _TOTAL_CAP = """, capped as (select * exclude (r) from (select *, row_number() over (partition by doc_id order by line_number, start) as r from found) where r <= 5),
@@ -188,11 +184,15 @@ def keyword_doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.keyword_doc_counts(posts(spark, sf_dir))
 
 
-@query("posting_chunks", f"with {_POSTS} select keyword, count(*) as ids, true as fit from posts group by keyword")
+@query(
+    "posting_chunks",
+    f"with {_POSTS}, ranked as (select keyword, doc_id, (row_number() over (partition by keyword order by doc_id) - 1) // 100 as chunk from posts) "
+    "select keyword, chunk, count(*) as doc_count, string_agg(doc_id, '|' order by doc_id) as doc_ids from ranked group by all",
+)
 def posting_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posting lists of at most 100 ids; the check sums them up."""
+    """Posting lists of at most 100 ids (no keyword of these tables has so many that it is cut by the ids' hash as well)."""
     packed = index.chunks(posts(spark, sf_dir), size=100)
-    return packed.groupBy("keyword").agg(F.sum("doc_count").alias("ids"), F.bool_and((F.col("doc_count") <= 100) & (F.size("doc_ids") == F.col("doc_count"))).alias("fit"))
+    return packed.select("keyword", F.col("part.chunk").alias("chunk"), "doc_count", F.concat_ws("|", "doc_ids").alias("doc_ids"))
 
 
 _POSTING_LISTS = "lists as (select workspace, keyword, list_distinct(string_split(docids, '|')) as ids from posting_rows where keyword is not null and workspace is not null and docids is not null)"
@@ -200,15 +200,37 @@ _POSTING_LISTS = "lists as (select workspace, keyword, list_distinct(string_spli
 
 @query(
     "compaction",
-    f"with {_POSTING_LISTS}, each as (select workspace, keyword, unnest(ids) as id from lists) "
-    "select l.workspace, l.keyword, l.rows_before, e.ids from (select workspace, keyword, count(*) as rows_before from lists group by all) l join (select workspace, keyword, count(distinct id) as ids from each group by all) e using (workspace, keyword)",
+    f"""with {_POSTING_LISTS}, per as (select workspace, keyword, count(*) as rows_before, avg(len(ids)) as m from lists group by all),
+again as (select distinct workspace, keyword, rows_before, unnest(ids) as id from lists join per using (workspace, keyword) where rows_before >= 2 and m <= 1000),
+ranked as (select *, (row_number() over (partition by workspace, keyword order by id) - 1) // 1000 as chunk from again)
+select workspace, keyword, rows_before, string_agg(id, '|' order by id) as doc_ids from ranked group by workspace, keyword, rows_before, chunk
+union all select workspace, keyword, rows_before, array_to_string(list_sort(ids), '|') from lists join per using (workspace, keyword) where rows_before < 2 or m > 1000""",
 )
 def compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All posting rows compacted to lists of up to 1000 ids; rows before and different ids after of every keyword."""
+    """All posting rows compacted to lists of up to 1000 ids, with the rows of their keyword before."""
+    rows = table(spark, sf_dir, "posting_rows").where("keyword is not null and workspace is not null and docids is not null")
+    rows = rows.select("workspace", "keyword", F.array_distinct(F.split("docids", r"\|")).alias("doc_ids"))
+    return index.compact(rows, "workspace").select("workspace", "keyword", "rows_before", F.concat_ws("|", F.sort_array("doc_ids")).alias("doc_ids"))
+
+
+@query("compaction_due", f"with {_POSTING_LISTS}, per as (select workspace, keyword, count(*) as n, sum(len(ids)) as ids from lists group by all), t as (select sum(n)::bigint as rows, sum(case when n < 2 or ids / n > 1000 then n else least(n, ceil(ids / 1000)) end)::bigint as rows_after from per) select rows, rows_after, rows - rows_after >= 0.25 * rows as due from t")
+def compaction_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "posting_rows").where("keyword is not null and workspace is not null and docids is not null")
+    return index.needs_compaction(rows.select("workspace", "keyword", F.array_distinct(F.split("docids", r"\|")).alias("doc_ids")), "workspace")
+
+
+@query(
+    "chunk_remove",
+    f"""with {_POSTING_LISTS}, each as (select row_number() over () as r, workspace, keyword, ids from lists),
+left_ids as (select r, workspace, keyword, unnest(ids) as id from each), kept as (select r, workspace, keyword, id from left_ids where not (keyword like 'c%' and starts_with(id, 'a')))
+select workspace, keyword, string_agg(id, '|' order by id) as doc_ids from kept group by r, workspace, keyword""",
+)
+def chunk_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All posting lists after the files whose id begins with ``a`` have left the keywords that begin with ``c``."""
     rows = table(spark, sf_dir, "posting_rows").where("keyword is not null and workspace is not null and docids is not null")
     rows = rows.select("workspace", "keyword", F.array_distinct(F.split("docids", r"\|")).alias("doc_ids"))
-    after = index.compact(rows, "workspace")
-    return after.select("workspace", "keyword", "rows_before", F.explode("doc_ids").alias("id")).groupBy("workspace", "keyword", "rows_before").agg(F.count_distinct("id").alias("ids"))
+    gone = rows.where("keyword like 'c%'").select("workspace", "keyword", F.explode("doc_ids").alias("doc_id")).where("doc_id like 'a%'")
+    return index.remove_from_chunks(rows, gone, "workspace").select("workspace", "keyword", F.concat_ws("|", F.sort_array("doc_ids")).alias("doc_ids"))
 
 
 @query("prefix_lookup", f"with {_POSTS} select distinct doc_id from posts where starts_with(keyword, 'scan')")
@@ -238,7 +260,7 @@ def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("scan_files", f"with {_DOCS} select doc_id, rel_path from docs")
 def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", "rel_path")
+    return corpus.scan_paths(docs(spark, sf_dir))
 
 
 @query("doc_lookup", f"with {_DOCS} select doc_id, rel_path, size from docs where doc_id in (select doc_id from documents where contains(text, 'velvetgrid'))")
@@ -264,7 +286,7 @@ def key_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "posting_key_codec",
-    r"""with k as (select row_key, starts_with(row_key, 'kw:') and len(string_split(substr(row_key, 4), '|')) = 4 and regexp_full_match(row_key, 'kw:[^|]*\|[^|]*\|[0-9]{1,18}\|[0-9]{1,18}') as good,
+    r"""with k as (select row_key, starts_with(row_key, 'kw:') and len(string_split(substr(row_key, 4), '|')) = 4 and regexp_full_match(row_key, 'kw:[^|]*\|[^|]*\|[0-9]+\|[0-9]+') and try_cast(string_split(row_key, '|')[3] as bigint) is not null and try_cast(string_split(row_key, '|')[4] as bigint) is not null as good,
 string_split(substr(row_key, 4), '|') as p from posting_rows)
 select row_key, case when good then p[1] end as workspace, case when good then p[2] end as keyword, case when good then p[3]::bigint end as doccount, case when good then p[4]::bigint end as tick from k""",
 )
@@ -275,9 +297,9 @@ def posting_key_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("document_json", "select doc_id, rel_path, size, hash, modified_time, last_sync_time from source_files")
 def document_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document entries to JSON and back."""
-    fields = "rel_path string, size bigint, hash string, modified_time bigint, last_sync_time bigint"
-    rows = table(spark, sf_dir, "source_files").select("doc_id", F.to_json(F.struct("rel_path", "size", "hash", "modified_time", "last_sync_time")).alias("j"))
-    return rows.select("doc_id", F.from_json("j", fields).alias("d")).select("doc_id", "d.*")
+    rows = table(spark, sf_dir, "source_files").select("doc_id", "rel_path", "size", "hash", "modified_time", "last_sync_time")
+    stored = corpus.document_json(rows, "doc_id").select("doc_id", "json")
+    return corpus.document_of_json(stored, "doc_id", "rel_path string, size bigint, hash string, modified_time bigint, last_sync_time bigint")
 
 
 # ---------------------------------------------------------------- maintenance
@@ -467,7 +489,7 @@ _LIST = lambda xs: "[" + ", ".join(map(_quoted, xs)) + "]"
 
 @query("workspace_list", "select id, path, use_global_filters, total_files from workspaces")
 def workspace_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "workspaces").orderBy(F.col("id").cast("int")).select("id", "path", "use_global_filters", "total_files")
+    return catalog.in_order(table(spark, sf_dir, "workspaces")).select("id", "path", "use_global_filters", "total_files")
 
 
 @query(
@@ -483,5 +505,4 @@ def workspace_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("workspace_counters", "select workspace_id, count(distinct doc_id) as indexed, max(w.total_files) as total_files from source_files s left join workspaces w on w.id = s.workspace_id group by workspace_id")
 def workspace_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "source_files").select("workspace_id", "doc_id").distinct().groupBy("workspace_id").agg(F.count(F.lit(1)).alias("indexed"))
-    return rows.join(table(spark, sf_dir, "workspaces").select(F.col("id").alias("workspace_id"), "total_files"), "workspace_id", "left")
+    return catalog.counters(table(spark, sf_dir, "source_files"), table(spark, sf_dir, "workspaces"))

@@ -44,8 +44,7 @@ class Catalog:
     def list(self) -> DataFrame:
         """All workspaces in order of their number; rows that lack an id or a path are left out."""
         rows = [r for r in self._state()[1]["rows"].values() if r.get("id") and r.get("path")]
-        df = self.spark.createDataFrame([(json.dumps(r),) for r in rows], "value string").select(F.from_json("value", SCHEMA).alias("r")).select("r.*")
-        return df.orderBy(F.col("id").cast("int"))
+        return in_order(self.spark.createDataFrame([(json.dumps(r),) for r in rows], "value string").select(F.from_json("value", SCHEMA).alias("r")).select("r.*"))
 
     def get(self, path: str) -> dict:
         path = normal_path(path)
@@ -131,3 +130,14 @@ def resolved_filters(workspaces: DataFrame, settings: Settings) -> DataFrame:
         F.when(general, F.lit(g.use_git_ignore)).otherwise(own_git).alias("use_git_ignore"),
         F.when(general | (~own_git & empty(own_list)), lit(g.customized)).otherwise(own_list).alias("customized"),
     )
+
+
+def in_order(workspaces: DataFrame) -> DataFrame:
+    """Workspaces in order of their number."""
+    return workspaces.orderBy(F.col("id").try_cast("int"), "id")
+
+
+def counters(files: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """``workspace_id``, ``indexed`` (different files held) and the catalogue's ``total_files`` of each workspace that has files."""
+    held = files.select("workspace_id", "doc_id").distinct().groupBy("workspace_id").agg(F.count(F.lit(1)).alias("indexed"))
+    return held.join(workspaces.select(F.col("id").alias("workspace_id"), "total_files"), "workspace_id", "left")

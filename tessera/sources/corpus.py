@@ -171,3 +171,18 @@ def range_scan(table: DataFrame, column: str, begin, end) -> DataFrame:
 
 def document_get(documents: DataFrame, ids: DataFrame) -> DataFrame:
     return documents.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def scan_paths(docs: DataFrame) -> DataFrame:
+    """Id and path of every document; nothing else is read."""
+    return docs.select("doc_id", "rel_path")
+
+
+def document_json(docs: DataFrame, id_col: str) -> DataFrame:
+    """The id and the other columns as one JSON value, ``json``; fields without a value are left out."""
+    return docs.select(id_col, F.to_json(F.struct(*[c for c in docs.columns if c != id_col])).alias("json"))
+
+
+def document_of_json(rows: DataFrame, id_col: str, schema: str) -> DataFrame:
+    """The id and the fields of ``json``; a field that is missing, or a value that is no JSON, gives null."""
+    return rows.select(id_col, F.from_json("json", schema).alias("_d")).select(id_col, "_d.*")
