@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +52,23 @@ def sync_if_needed(catalog: Catalog, target: BucketedIndex, path: str, settings:
     return row if row["last_full_sync_time"] else sync(catalog, target, path, settings)
 
 
+def add_file(catalog: Catalog, target: BucketedIndex, path: str, rel_path: str, settings: Settings) -> bool:
+    """Read one file of a workspace and upsert its document; False where it is gone, not wanted or no text.  Counts nothing."""
+    path = catalog.get(path)["path"]
+    name = os.fsencode(rel_path)
+    try:
+        info = os.stat(os.path.join(os.fsencode(path), name))
+    except OSError:
+        return False
+    one = catalog.spark.createDataFrame([(rel_path, info.st_size, info.st_mtime_ns // 1000, bytearray(name))], "rel_path string, size long, modified_time long, path binary")
+    wanted = corpus.wanted_files(one, catalog.filters(path, settings), path)
+    parsed = written(corpus.parsed_files(corpus.read_files(wanted, path), path, settings).drop("words"), "parsed")
+    if parsed.isEmpty():
+        return False
+    target.apply(_changes(parsed))
+    return True
+
+
 def remove_file(catalog: Catalog, target: BucketedIndex, path: str, rel_path: str) -> dict:
     """Delete one file's document and count it off; a file that the index does not hold changes nothing."""
     row = catalog.get(path)

@@ -2,14 +2,17 @@
 
 import random
 import uuid
+from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import eager, snapshots, versions
+from tessera.engine import ContentRequest
+from tessera.operators import eager, index, snapshots, versions
 from tessera.plans.settings import Filters, Settings
+from tessera.service import Service
 from tessera.sources import corpus, sync
 from tessera.sources.catalog import Catalog, CatalogError
 from tessera.streaming.ingest import SCHEMA, BucketedIndex, file_changes, index_stream
@@ -340,3 +343,62 @@ def test_sync_and_removal(spark, tmp_path):
     assert held() == {} and t.postings().count() == 0 and c.list().count() == 0
     keys = spark.createDataFrame([("kw:1|a",), ("kw:1|b",), ("kw:2|a",), (None,)], "k string")
     assert {r[0] for r in corpus.prefix_delete(keys, "k", "kw:1|").collect()} == {"kw:2|a", None}
+
+
+def test_service(spark, tmp_path):
+    root = tmp_path / "w"
+    root.mkdir()
+    (root / "a.go").write_text("func alpha\nfunc scanner")
+    (root / "b.go").write_text("func beta scanner")
+    s, w = Service(spark, f"file://{tmp_path}/svc", buckets=2), str(root)
+    assert s.health()["code"] == 0 and s.list_workspaces()["workspaces"] == [] and s.sync_all()["code"] == 0
+    assert s.get_workspace(w) == {"code": 1, "message": "Not found"}
+    made = s.create_workspace(w)
+    assert (made["code"], made["message"], made["workspace"]["total_files"]) == (0, "Ok", 2)
+    assert s.create_workspace(f"{w}/")["message"] == "Workspace already exists" and s.create_workspace("rel/ative")["code"] == 1
+    ask = ContentRequest("scanner")
+    refusals = {"": "Workspace is required", "x/y": "Workspace is not absolute", "/nowhere": "workspace not found"}
+    for path, message in refusals.items():
+        assert s.search_content(path, ask) == s.search_files(path, "a", 5) == s.sync_workspace(path) == {"code": 1, "message": message}
+    assert s.search_content(w, ContentRequest(""))["message"] == s.search_files(w, "", 5)["message"] == "Query is required"
+    hits = lambda r=ask: [x["file"] for x in s.search_content(w, r)["data"].get("results", [])]
+    assert hits() == ["a.go", "b.go"] and hits(ContentRequest("scanner", path=w)) == ["a.go", "b.go"] and hits(ContentRequest("scanner", path="/other")) == []
+    assert s.search_files(w, "b.go", 5)["data"]["results"] == ["b.go"]
+    (root / "c.go").write_text("func gamma scanner")
+    assert s.update_document(w, "c.go")["code"] == 0 and hits() == ["a.go", "b.go", "c.go"] and s.get_workspace(w)["workspace"]["total_files"] == 3
+    (root / "c.go").write_text("func gamma")
+    assert s.update_document(w, "c.go")["code"] == 0 and hits() == ["a.go", "b.go"] and s.get_workspace(w)["workspace"]["total_files"] == 3
+    (root / "c.go").unlink()
+    assert s.update_document(w, "c.go")["code"] == 0 and s.get_workspace(w)["workspace"]["indexed_files"] == 2
+    assert s.delete_document(w, "b.go")["code"] == 0 and hits() == ["a.go"] and s.get_workspace(w)["workspace"]["total_files"] == 1
+    assert [x["file"] for x in s.search_content(w, ask, refresh=True)["data"]["results"]] == ["a.go", "b.go"]
+    assert s.update_workspace(w, Filters(["a.*"], False, []), False)["code"] == 0 and s.sync_all()["code"] == 0 and hits() == ["a.go"]
+    assert [s.delete_workspace(x)["code"] for x in ("", "x", "/nowhere")] == [1, 2, 3]
+    assert s.delete_workspace(w) == {"code": 0, "message": "Deleted"} and s.list_workspaces()["workspaces"] == []
+
+
+def test_hot_keyword_is_cut(spark, monkeypatch):
+    """One keyword with half of all postings: its lists come from many buckets, none larger than the rest allows."""
+    rows = [("hot", k) for k in range(4000)] + [(f"k{k % 900}", k) for k in range(4000)] + [("hot", 1)] * 50
+    posts = spark.createDataFrame(rows, "keyword string, doc_id int")
+    got = index.chunks(posts, size=10).collect()
+    assert all(r["doc_count"] == len(r["doc_ids"]) == len(set(r["doc_ids"])) <= 10 for r in got)
+    found = {}
+    for r in got:
+        found.setdefault(r["keyword"], []).extend(r["doc_ids"])
+    assert sorted(found["hot"]) == list(range(4000)) and len(found) == 901
+    per = Counter(r["part"]["_b"] for r in got if r["keyword"] == "hot")
+    assert len(per) >= 6 and max(per.values()) <= 100
+    monkeypatch.setattr(index, "HOT_ROWS", 50)
+    lists = posts.select("keyword", F.array("doc_id").alias("doc_ids"))
+    again = index.compact(lists, size=10).collect()
+    packed = {}
+    for r in again:
+        packed.setdefault(r["keyword"], []).extend(r["doc_ids"])
+        assert len(r["doc_ids"]) <= 10 and r["rows_before"] == (4050 if r["keyword"] == "hot" else Counter(x for x, _ in rows)[r["keyword"]])
+    assert sorted(packed["hot"]) == list(range(4000)) and len(again) < 1500
+    due = index.needs_compaction(lists, size=10).first()
+    assert due["rows"] == 8050 and due["due"] and not index.needs_compaction(lists.limit(0)).first()["due"]
+    gone = spark.createDataFrame([("hot", k) for k in range(0, 4000, 2)] + [("k1", 1)], "keyword string, doc_id int")
+    left = index.remove_from_chunks(spark.createDataFrame([(r["keyword"], r["doc_ids"]) for r in again], "keyword string, doc_ids array<int>"), gone).collect()
+    assert sorted(x for r in left if r["keyword"] == "hot" for x in r["doc_ids"]) == list(range(1, 4000, 2)) and all(r["doc_ids"] for r in left)
