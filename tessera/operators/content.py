@@ -46,19 +46,18 @@ def lines(content: Column) -> Column:
 
 
 def spans(line: Column, regex: str) -> Column:
-    """Array of (start, end) byte offsets of the second group of all matches, left to right."""
-    r = F.lit(regex)
-    size = lambda arr, n: F.aggregate(F.slice(arr, F.lit(1), n), F.lit(0), lambda s, x: s + F.octet_length(x))
-    all_, lead, body = F.regexp_extract_all(line, r, 0), F.regexp_extract_all(line, r, 1), F.regexp_extract_all(line, r, 2)
-    gaps = F.split(line, regex, -1)
+    """Array of (start, end) byte offsets of the second group of all matches, left to right.
 
-    def span(parts: Column) -> Column:
-        m, g1, g2, gp = parts["m"], parts["g1"], parts["g2"], parts["gaps"]
-        start = lambda i: size(gp, i + 1) + size(m, i) + F.octet_length(F.element_at(g1, i + 1))
-        return F.transform(m, lambda x, i: F.struct(start(i).alias("start"), (start(i) + F.octet_length(F.element_at(g2, i + 1))).alias("end")))
-
-    packed = F.struct(all_.alias("m"), lead.alias("g1"), body.alias("g2"), gaps.alias("gaps"))
-    return F.element_at(F.transform(F.array(packed), span), 1)
+    A match is its first group, one character or, at most at the line's start, none, and its second.  As the leftmost match
+    is the leftmost place of its text behind the match before, one extraction and a search for plain texts place them all.
+    """
+    whole = F.regexp_extract_all(line, F.lit(regex), 0)
+    find = lambda x, at: F.call_function("locate", x, line, at)
+    empty = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("places"))
+    step = lambda s, x: F.struct((find(x, s["at"]) + F.char_length(x)).alias("at"), F.concat(s["places"], F.array(find(x, s["at"]))).alias("places"))
+    placed = F.zip_with(whole, F.aggregate(whole, empty, step)["places"], lambda x, p: F.struct(x.alias("x"), p.alias("p"), F.octet_length(F.substring(line, F.lit(1), p - 1)).alias("before")))
+    lead = lambda m: F.when(m["p"] == 1, F.octet_length(F.regexp_extract(line, regex, 1))).otherwise(F.octet_length(F.substring(m["x"], 1, 1)))
+    return F.transform(placed, lambda m: F.struct((m["before"] + lead(m)).alias("start"), (m["before"] + F.octet_length(m["x"])).alias("end")))
 
 
 def line_matches(line: Column, plan: Plan) -> Column:
@@ -96,7 +95,7 @@ def matches(documents: DataFrame, plan: Plan, posts: DataFrame | None = None, wa
     docs = documents if wanted is None else documents.where(wanted)
     docs = docs.where(is_candidate(plan, F.col("words"))) if posts is None else docs.join(candidates_from_postings(posts, plan), "doc_id", "left_semi")
     context = max(0, min(MAX_CONTEXT, context))
-    hit = lambda x: reduce(lambda a, b: a | b, (x.rlike(c.java) for c in plan.clauses))
+    hit = lambda x: x.rlike("|".join(f"(?:{c.java})" for c in plan.clauses))
     rows = docs.select("doc_id", "rel_path", lines(F.col("content")).alias("_lines"))
     numbered = F.filter(F.transform("_lines", lambda x, i: F.struct((i + 1).alias("line_number"), x.alias("content"))), lambda s: hit(s.content))
     keep = ["_lines"] if context else []
