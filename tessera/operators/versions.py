@@ -48,10 +48,15 @@ class Store:
         """Give the file the name, or fail if there is one of that name."""
         jvm, source, target = self._jvm, self._fs.makeQualified(beside).toUri(), self._fs.makeQualified(to).toUri()
         if target.getScheme() == "file" if link is None else link:  # a local rename replaces, a link does not
-            jvm.java.nio.file.Files.createLink(jvm.java.io.File(target.getPath()).toPath(), jvm.java.io.File(source.getPath()).toPath())
-        else:  # FileContext's rename, unlike FileSystem's, does not replace
-            none = jvm.java.lang.reflect.Array.newInstance(jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
-            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target, self.spark._jsc.hadoopConfiguration()).rename(beside, to, none)
+            try:
+                jvm.java.nio.file.Files.createLink(jvm.java.io.File(target.getPath()).toPath(), jvm.java.io.File(source.getPath()).toPath())
+                return
+            except Py4JJavaError:
+                if self._fs.exists(to):
+                    raise  # else the file system has no links
+        # FileContext's rename, unlike FileSystem's, does not replace
+        none = jvm.java.lang.reflect.Array.newInstance(jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target, self.spark._jsc.hadoopConfiguration()).rename(beside, to, none)
 
     def put_new(self, name: str, text: str) -> bool:
         """Writes a file of its own beside and gives it the name; False if the name is taken, also by a writer at the same time."""
